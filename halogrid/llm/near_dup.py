@@ -221,6 +221,23 @@ def _rooted(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def drop_near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs with one row of each group: that of the component's smallest doc_id, all columns as they are.
+
+    Of rows that repeat a doc_id one stays (the first by text); rows with a null doc_id all stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(near_duplicates(docs, k=k).where("doc_id is not null"))
+    gone = scratch.write(found.where("not kept").select("doc_id").distinct())
+    kept = keep_ids(docs, gone, "doc_id", "left_anti")
+    again = scratch.write(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    # Only the rows of ids that repeat are moved.
+    first = keep_ids(kept, again, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), F.col("text")).alias("r")).select("r.*")
+    return keep_ids(kept, again, "doc_id", "left_anti").unionByName(first)
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     """The contract's query: 2-word shingles of documents."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
