@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating large-star and small-star steps."""
+"""Connected components of a link table: minimum labels of neighbours, then labels of labels."""
 
 from __future__ import annotations
 
@@ -8,34 +8,25 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 50) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the links (u, v); root is the smallest node reachable.
 
-    Every step is an aggregate by node with map-side combination and an equi-join of written tables, which
-    adaptive execution can split where one node has very many links.  Links of a node with itself do not count.
+    A round takes the least label of each node's neighbours (an aggregate with map-side combination over an equi-join
+    of written tables, which adaptive execution can split at a node with very many links) and then follows each label
+    to its own label, so that distances halve.  Links of a node with itself do not count.
     """
-    up, down = F.greatest("u", "v"), F.least("u", "v")
-    edges = scratch.write(links.select(up.alias("u"), down.alias("v")).where("u <> v").distinct())
-    mark = _mark(edges)
+    both = links.where("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+    edges = scratch.write(both.distinct())
+    # The first labels: each node's least neighbour, or itself.
+    label = scratch.write(edges.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("root")))
     for _ in range(max_rounds):
-        if not mark[0]:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = scratch.write(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least2 = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.write(small.unionByName(least2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = _mark(new)
-        scratch.drop(edges, least, large, least2)
-        edges, before, mark = new, mark, now
-        if now == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return scratch.write(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        near = edges.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("m"))
+        near = label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        first = scratch.write(near)
+        if first.where("old <> root").isEmpty():
+            return label
+        jump = first.join(first.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+        new = scratch.write(jump.select("node", F.coalesce("to", "root").alias("root")))
+        scratch.drop(label, first)
+        label = new
+    raise RuntimeError("components did not settle")

@@ -128,8 +128,9 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = scratch.write(docs.mapInArrow(_signatures(k, halves, rows), "doc_id long, n_shingles long, digest binary, halves array<long>"))
     known = sig.where("n_shingles > 0 and doc_id is not null")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = scratch.write(
-        known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
+        known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")).repartition(parts)
     )
     # A set smaller than this has no partner but an equal set: n / (n + 1) is below the threshold.
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 60
@@ -154,55 +155,53 @@ def _links(docs: DataFrame, star: DataFrame, classes: DataFrame, k: int, percent
     from .components import connected_components
 
     fits = f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)"
-    involved = scratch.write(star.where("node <> rep").where(fits).select(F.explode(F.array("node", "rep")).alias("node")).distinct())
+    good = f"100 * inter >= {percent} * n_union"
+    slack = 1 - percent / 100 + 1e-9
+    fit = f"100 * least(un, vn) >= {percent} * greatest(un, vn)"
+    involved = scratch.write(star.select("node").distinct())
     if involved.isEmpty():
         return None
-    # Later rounds may need any class that shares a bucket of three or more.
-    later = star.join(star.where("node <> rep").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key", "left_semi").select("node")
-    involved2 = scratch.write(involved.unionByName(later).distinct())
-    reps = keep_ids(docs.withColumnRenamed("doc_id", "node"), involved2, "node").select("node", "text")
+    reps = keep_ids(docs.withColumnRenamed("doc_id", "node"), involved, "node").select("node", "text")
     sets = scratch.write(reps.mapInArrow(_sets(k), "node long, words binary").distinct())
-    scratch.drop(involved)
 
     def measure(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
         pairs = pairs.join(sets.select(F.col("node").alias("v"), F.col("words").alias("b")), "v").select("u", "v", "a", "b")
-        seen = pairs.mapInArrow(_overlap, "u long, v long, inter long, n_union long")
-        return scratch.write(seen.groupBy("u", "v").agg(F.max(F.struct(F.expr("inter / n_union").alias("s"), "inter", "n_union")).alias("m")).select("u", "v", "m.s", "m.inter", "m.n_union"))
+        return scratch.write(pairs.mapInArrow(_overlap, "u long, v long, inter long, n_union long"))
 
-    good = f"100 * inter >= {percent} * n_union"
-    slack = 1 - percent / 100 + 1e-9
-    fit = f"100 * least(un, vn) >= {percent} * greatest(un, vn)"
     links = comps = None
     turn = 0
     while True:
         turn += 1
         seen = measure(star.where("node <> rep").where(fits).select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct())
-        links = _more(links, seen.where(good), scratch)
+        found = seen.where(good).select("u", "v")
+        links = found if links is None else links.unionByName(found)
         comps = connected_components(links, scratch)
-        star = _rooted(star.select("key", "node", "n", "rep", "rep_n"), comps)
-        star = scratch.write(star.join(comps.select(F.col("node").alias("rep"), F.col("root").alias("rep_root")), "rep", "left").withColumn("rep_root", F.coalesce("rep_root", "rep")))
-        mixed = star.groupBy("key").agg(F.count("*").alias("members"), F.sum((F.col("root") != F.col("rep_root")).cast("long")).alias("outside"))
-        mixed = scratch.write(mixed.where("outside > 0 and members > 2").select("key", "members"))
-        if mixed.isEmpty():
+        star = scratch.write(_rooted(star.select("key", "node", "n", "rep", "rep_n"), comps))
+        heads = star.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("rep"), F.col("root"))).alias("rep_root"))
+        heads = scratch.write(heads.where("lo < hi and members > 2").select("key", "members", "rep_root"))
+        large = 0 if turn >= star_rounds else heads.where(F.col("members") > small_bucket).count()
+        if not large and heads.isEmpty():
             return comps
-        star = scratch.write(star.join(mixed, "key"))
+        star = scratch.write(star.join(heads, "key"))
         # Small buckets: the pairs whose ends are not yet in one component, without the representative.
-        side = star.where((F.col("members") <= small_bucket) | F.lit(turn >= star_rounds)).where("node <> rep").select("key", "node", "n", "root")
+        side = star.where((F.col("members") <= small_bucket) | F.lit(not large)).where("node <> rep").select("key", "node", "n", "root")
         u, v = (side.select("key", *(F.col(c).alias(x + y) for c, y in (("node", ""), ("n", "n"), ("root", "r")))) for x in "uv")
         pairs = u.join(v, "key").where(f"u < v and ur <> vr and {fit}").select("u", "v")
-        # Large buckets: inside against outside the representative's component, where the distances to it allow a link.
-        star = star.where((F.col("members") > small_bucket) & F.lit(turn < star_rounds))
-        dist = seen.select(F.col("u").alias("node"), F.col("v").alias("rep"), (1 - F.col("s")).alias("d"))
-        far = star.where("node <> rep").join(dist, ["node", "rep"], "left")
-        inside = far.where("root = rep_root").select("key", F.col("node").alias("u"), F.col("n").alias("un"), F.coalesce("d", F.lit(1.0)).alias("ud"))
-        outside = far.where("root <> rep_root").select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.expr("coalesce(d, 1 - least(n, rep_n) / greatest(n, rep_n))").alias("lower"))
-        pairs = pairs.unionByName(inside.join(outside, "key").where(f"lower <= ud + {slack} and {fit}").select("u", "v")).distinct()
-        seen = measure(pairs)
-        found = seen.where(good)
+        if large:
+            # Large buckets: inside against outside the representative's component, where the distances to it allow a link.
+            star = star.where(F.col("members") > small_bucket)
+            dist = seen.select(F.col("u").alias("node"), F.col("v").alias("rep"), (1 - F.col("inter") / F.col("n_union")).alias("d"))
+            far = star.where("node <> rep").join(dist, ["node", "rep"], "left")
+            inside = far.where("root = rep_root").select("key", F.col("node").alias("u"), F.col("n").alias("un"), F.coalesce("d", F.lit(1.0)).alias("ud"))
+            outside = far.where("root <> rep_root").select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.expr("coalesce(d, 1 - least(n, rep_n) / greatest(n, rep_n))").alias("lower"))
+            pairs = pairs.unionByName(inside.join(outside, "key").where(f"lower <= ud + {slack} and {fit}").select("u", "v"))
+        found = measure(pairs.distinct()).where(good).select("u", "v")
         if not found.isEmpty():
-            links = _more(links, found, scratch)
+            links = links.unionByName(found)
             comps = connected_components(links, scratch)
+        if not large:
+            return comps
         # What is outside the representative's component goes on without it.
         rest = scratch.write(_rooted(star.where("root <> rep_root").select("key", "node", "n"), comps))
         heads = rest.groupBy("key").agg(F.min(F.struct("node", "n")).alias("r"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
@@ -212,11 +211,6 @@ def _links(docs: DataFrame, star: DataFrame, classes: DataFrame, k: int, percent
             return comps
 
 
-def _more(links: DataFrame | None, found: DataFrame, scratch: Scratch) -> DataFrame:
-    found = found.select("u", "v")
-    return scratch.write(found if links is None else links.unionByName(found))
-
-
 def _rooted(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
