@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, mix, powers, prefix_sums, session, span_hash, table, utf8
+from .common import Scratch, chunks, keep_ids, mix, powers, prefix_sums, session, span_hash, table, utf8
 
 _U = np.uint64
 GRAM = 32
@@ -331,10 +331,12 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     often = scratch.write(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     scratch.release()
     rows = named.where(long).select("doc", "mark", "text").mapInArrow(_anchor_rows(width), "anchor long, context long, doc long, mark long, start int, count int")
-    rows = scratch.write(rows.join(often, "anchor"))
+    rows = scratch.write(keep_ids(rows, often, "anchor"))
+    scratch.drop(often)
     scratch.release()
     least = scratch.write(rows.groupBy("anchor", "context").agg(F.min(F.struct("doc", "start", "mark")).alias("least")))
     kinds = scratch.write(least.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    rows_ = rows
     rows = rows.join(least, ["anchor", "context"])
     later = "doc > least.doc or doc = least.doc and start > least.start"
     whole = rows.where(later).select("doc", "mark", F.col("start").alias("lo"), F.expr(f"start + count + {width - 1}").alias("hi"))
@@ -347,7 +349,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
         if hot and part.isEmpty():
             continue
         lists = part.groupBy("doc", "mark").agg(F.collect_list(place).alias("places"))  # of one document
-        cut = named.where(long).join(lists, ["doc", "mark"]).select("doc", "mark", "text", "places")
+        # Only texts of documents that have such contexts are moved.
+        ids = scratch.write(part.select("doc").distinct())
+        cut = keep_ids(named.where(long), ids, "doc").join(lists, ["doc", "mark"]).select("doc", "mark", "text", "places")
         if not hot:
             parts = max(64, part.count() // BUCKET_CONTEXTS)
             cols = "anchor long, doc long, mark long, start int, count int, back int, bytes binary"
@@ -362,8 +366,17 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
         ranges = ranges.unionByName(f)
     ranges = scratch.write(ranges.groupBy("doc", "mark").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))  # of one document
     scratch.release()
-    out = named.join(ranges, ["doc", "mark"], "left").select("doc_id", "text", "lo", "hi")
-    return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    scratch.drop(rows_, least, kinds, open_)
+    ids = scratch.write(ranges.select("doc").distinct())
+    kind = "array<struct<start:int,end:int>>"
+    cut = keep_ids(named, ids, "doc").join(ranges, ["doc", "mark"], "left").select("doc_id", "text", "lo", "hi")
+    cut = cut.mapInArrow(_remove, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {kind}")
+    text = F.coalesce("text", F.lit(""))
+    zero = F.lit(0).cast("long")
+    whole = keep_ids(named, ids, "doc", "left_anti").select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"), F.array().cast(kind).alias("spans")
+    )
+    return cut.unionByName(whole)
 
 
 def op10_suffix_array_dedup(spark, sf_dir):
