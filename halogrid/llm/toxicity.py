@@ -178,21 +178,29 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, sample: dict[int, int] =
     texts, label = labelled_sample(docs, labels, "toxic", sample, 5, 0)
     if min(np.bincount(label, minlength=2)) < 10:
         return train(texts, label)
-    # Every fifth text sets the bias: the cut with the best F1, classes weighted as in the whole table of labels.
-    check = np.arange(len(texts)) % 5 == 0
-    model = train([t for t, c in zip(texts, check, strict=True) if not c], label[~check])
+    # Texts that a model has not seen set the bias: a fifth of them, or each fifth in turn where texts are few.
+    fold = np.arange(len(texts)) % 5
+    z = np.zeros(len(texts))
+    few = len(texts) < 1000
+    for f in range(5 if few else 1):
+        model = train([t for t, c in zip(texts, fold, strict=True) if c != f], label[fold != f])
+        z[fold == f] = model.logit([t for t, c in zip(texts, fold, strict=True) if c == f])
+    seen = np.ones(len(texts), bool) if few else fold == 0
+    if few:
+        model = train(texts, label)
     share = labels.where("crc32(cast(doc_id as string)) % 5 <> 0").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     odds = (1 - share) / share * (label == 1).sum() / (label == 0).sum()
-    model.bias -= best_cut(model.logit([t for t, c in zip(texts, check, strict=True) if c]), label[check], odds)
+    model.bias -= best_cut(z[seen], label[seen], odds)
     return model
 
 
 def best_cut(z: np.ndarray, label: np.ndarray, negative_weight: float) -> float:
-    """Middle between the two neighbouring values whose cut has the best F1."""
+    """Middle between the two neighbouring values whose cut has the best F1, of the cuts that reject at most 1.2 times as many as are labelled."""
     order = np.argsort(-z, kind="stable")
     hit = np.cumsum(label[order])
     false = np.cumsum((label[order] == 0) * negative_weight)
     f1 = 2 * hit / (hit + false + label.sum())
+    f1[hit + false > 1.2 * label.sum()] = 0
     i = int(np.argmax(f1))
     return float((z[order][i] + z[order][min(i + 1, len(z) - 1)]) / 2)
 

@@ -54,7 +54,7 @@ def make(seed):
 
 
 def test_against_all_pairs(spark):
-    for seed, k, rounds, small in ((1, 2, 4, 8), (2, 5, 4, 8), (3, 2, 4, 2), (4, 2, 1, 8)):
+    for seed, k, rounds, small in ((2, 5, 4, 8), (3, 2, 4, 2)):
         rows = make(seed)
         df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, node int, key string").repartition(3)
         got = near_duplicates(df, k=k, star_rounds=rounds, small_bucket=small).collect()

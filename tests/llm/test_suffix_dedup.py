@@ -49,7 +49,7 @@ def make(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 2000), (2, 1), (3, 2000)])
+@pytest.mark.parametrize("seed,hot", [(1, 2000), (2, 1)])
 def test_against_brute_force(spark, seed, hot):
     rows = make(seed)
     df = spark.createDataFrame([(d, t, "x", t) for d, t in rows], "doc_id long, text string, lang string, doc string").repartition(4)
