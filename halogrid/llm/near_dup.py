@@ -6,9 +6,14 @@ key with probability (1 - (1 - s**rows)**halves)**2; at s = 0.8 the default of 2
 link in 100,000, for 48 minima instead of the 576 that 144 separate keys of four rows would take.
 
 Texts with equal shingle sets form a class, which enters the search once.  In each bucket every class is compared
-with the bucket's smallest; the rest of the pairs need a look only where their ends are not yet in one component,
-and only where the triangle inequality of the Jaccard distance leaves a link possible.  So no bucket, however large,
-is expanded into all pairs or collected.
+with the bucket's smallest, r; the rest of the pairs need a look only where their ends are not yet in one component.
+In a large bucket these are found by their differences from r, the shingles that r lacks or that they lack.  Let u and
+v have m and d of them each, lacking and extra, and c in common.  Then u and v share |r| - m_u - m_v + c shingles of
+|r| + d_u + d_v - c, so that similarity s takes c >= (m_u + m_v + s (d_u + d_v) - (1 - s) |r|) / (1 + s); with v not
+linked to r this is above (m_u + s d_u) / (1 + s), and as v must make up what it lacks for a link to r itself, c is
+also at least m_v + s d_v - (1 - s) |r| > 0.  So a link needs a common difference among the first few of each
+in any one order of the differences (rarest first, to meet least often), and at places that leave room for c.  This
+loses no link, and no bucket, however large, is expanded into all pairs or collected.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, chunks, keep_ids, mix, session, shingles, table, utf8, words
 
 _U = np.uint64
+#: Shingle frequencies that order differences are kept in 2**CELL_BITS cells, whatever the input's size.
+CELL_BITS = 16
 
 
 def shingle_set(word: np.ndarray, k: int) -> np.ndarray:
@@ -109,7 +116,6 @@ def near_duplicates(
     percent: int = 80,
     halves: int = 12,
     rows: int = 2,
-    star_rounds: int = 4,
     small_bucket: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -141,7 +147,7 @@ def near_duplicates(
     shared = scratch.write(keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("rep"), F.max("node").alias("last")).where("rep.node < last").select("key", "rep"))
     star = scratch.write(keys.join(shared, "key").select("key", "node", "n", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")))
     scratch.drop(shared)
-    links = _links(docs, star, classes, k, percent, star_rounds, small_bucket, scratch)
+    links = _links(docs, star, k, percent, small_bucket, scratch)
     comp = classes.where("copies > 1").select("digest", "node")
     rows_ = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     rows_ = rows_.join(comp, "digest", "left").withColumn("node", F.coalesce("node", "doc_id"))
@@ -150,13 +156,48 @@ def near_duplicates(
     return rows_.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(docs: DataFrame, star: DataFrame, classes: DataFrame, k: int, percent: int, star_rounds: int, small_bucket: int, scratch: Scratch) -> DataFrame | None:
-    """(node, root) of the classes that have links, or None.  After star_rounds rounds what is left of large buckets is compared like small ones."""
+def _cells(batches):
+    """Frequencies of the shingles, hashed to a fixed number of cells: (cell, n)."""
+    n = np.zeros(1 << CELL_BITS, np.int64)
+    for b in batches:
+        flat = np.frombuffer(b"".join(b.column("words").to_pylist()), _U)
+        n += np.bincount((flat >> _U(64 - CELL_BITS)).astype(np.int64), minlength=len(n))
+    at = np.flatnonzero(n)
+    yield pa.record_batch({"cell": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
+
+
+def _features(percent: int, frequency: np.ndarray):
+    """The leading differences of a set (a) from its bucket's representative (b), in one order for all sets of the representative."""
+    columns = ("rep", "node", "root", "n", "n_rep", "diffs", "w", "outside", "pos", "feature")
+
+    def run(batches):
+        for b in batches:
+            out = {c: [] for c in columns}
+            for rep, node, root, x, y in zip(*(b.column(c).to_pylist() for c in ("rep", "node", "root", "a", "b")), strict=True):
+                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                extra, lacks = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                often = [frequency[(z >> _U(64 - CELL_BITS)).astype(np.int64)] for z in (extra, lacks)]
+                # Rare shingles first; then what is missing, first of all what the others have.
+                extra, lacks = extra[np.lexsort((extra, often[0]))], lacks[np.lexsort((lacks, -often[1]))]
+                diffs, w, free = len(extra) + len(lacks), 100 * len(lacks) + percent * len(extra), (100 - percent) * len(y)
+                # A link takes so many differences in common: of a set outside with any other, of one linked to b with one outside.
+                common = -(-(w - free) // 100) if w > free else -(-(w + 1) // (100 + percent))
+                keep = diffs - common + 1
+                feature = np.concatenate((extra << _U(1), lacks << _U(1) | _U(1)))[: max(0, keep)]
+                for c, value in zip(columns, (rep, node, root, len(x), len(y), diffs, w, w > free), strict=False):
+                    out[c].append(np.full(len(feature), value, bool if c == "outside" else np.int64))
+                out["pos"].append(np.arange(len(feature)))
+                out["feature"].append(feature.view(np.int64))
+            yield pa.record_batch({c: pa.array(np.concatenate(v)) if v else pa.array([], pa.bool_() if c == "outside" else pa.int64()) for c, v in out.items()})
+
+    return run
+
+
+def _links(docs: DataFrame, star: DataFrame, k: int, percent: int, small_bucket: int, scratch: Scratch) -> DataFrame | None:
+    """(node, root) of the classes that have links, or None."""
     from .components import connected_components
 
-    fits = f"100 * least(n, rep_n) >= {percent} * greatest(n, rep_n)"
     good = f"100 * inter >= {percent} * n_union"
-    slack = 1 - percent / 100 + 1e-9
     fit = f"100 * least(un, vn) >= {percent} * greatest(un, vn)"
     involved = scratch.write(star.select("node").distinct())
     if involved.isEmpty():
@@ -164,51 +205,39 @@ def _links(docs: DataFrame, star: DataFrame, classes: DataFrame, k: int, percent
     reps = keep_ids(docs.withColumnRenamed("doc_id", "node"), involved, "node").select("node", "text")
     sets = scratch.write(reps.mapInArrow(_sets(k), "node long, words binary").distinct())
 
-    def measure(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("words").alias("a")), "u")
-        pairs = pairs.join(sets.select(F.col("node").alias("v"), F.col("words").alias("b")), "v").select("u", "v", "a", "b")
-        return scratch.write(pairs.mapInArrow(_overlap, "u long, v long, inter long, n_union long"))
-
-    links = comps = None
-    turn = 0
-    while True:
-        turn += 1
-        seen = measure(star.where("node <> rep").where(fits).select(F.col("node").alias("u"), F.col("rep").alias("v")).distinct())
-        found = seen.where(good).select("u", "v")
-        links = found if links is None else links.unionByName(found)
-        comps = connected_components(links, scratch)
-        star = scratch.write(_rooted(star.select("key", "node", "n", "rep", "rep_n"), comps))
-        heads = star.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("rep"), F.col("root"))).alias("rep_root"))
-        heads = scratch.write(heads.where("lo < hi and members > 2").select("key", "members", "rep_root"))
-        large = 0 if turn >= star_rounds else heads.where(F.col("members") > small_bucket).count()
-        if not large and heads.isEmpty():
-            return comps
-        star = scratch.write(star.join(heads, "key"))
-        # Small buckets: the pairs whose ends are not yet in one component, without the representative.
-        side = star.where((F.col("members") <= small_bucket) | F.lit(not large)).where("node <> rep").select("key", "node", "n", "root")
-        u, v = (side.select("key", *(F.col(c).alias(x + y) for c, y in (("node", ""), ("n", "n"), ("root", "r")))) for x in "uv")
-        pairs = u.join(v, "key").where(f"u < v and ur <> vr and {fit}").select("u", "v")
-        if large:
-            # Large buckets: inside against outside the representative's component, where the distances to it allow a link.
-            star = star.where(F.col("members") > small_bucket)
-            dist = seen.select(F.col("u").alias("node"), F.col("v").alias("rep"), (1 - F.col("inter") / F.col("n_union")).alias("d"))
-            far = star.where("node <> rep").join(dist, ["node", "rep"], "left")
-            inside = far.where("root = rep_root").select("key", F.col("node").alias("u"), F.col("n").alias("un"), F.coalesce("d", F.lit(1.0)).alias("ud"))
-            outside = far.where("root <> rep_root").select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.expr("coalesce(d, 1 - least(n, rep_n) / greatest(n, rep_n))").alias("lower"))
-            pairs = pairs.unionByName(inside.join(outside, "key").where(f"lower <= ud + {slack} and {fit}").select("u", "v"))
-        found = measure(pairs.distinct()).where(good).select("u", "v")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = connected_components(links, scratch)
-        if not large:
-            return comps
-        # What is outside the representative's component goes on without it.
-        rest = scratch.write(_rooted(star.where("root <> rep_root").select("key", "node", "n"), comps))
-        heads = rest.groupBy("key").agg(F.min(F.struct("node", "n")).alias("r"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        heads = scratch.write(heads.select("key", F.col("r.node").alias("rep"), F.col("r.n").alias("rep_n")))
-        star = scratch.write(rest.join(heads, "key").select("key", "node", "n", "rep", "rep_n"))
-        if star.isEmpty():
-            return comps
+    def with_words(pairs: DataFrame, u: str, v: str) -> DataFrame:
+        return pairs.join(sets.select(F.col("node").alias(u), F.col("words").alias("a")), u).join(sets.select(F.col("node").alias(v), F.col("words").alias("b")), v)
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        return scratch.write(with_words(pairs, "u", "v").select("u", "v", "a", "b").mapInArrow(_overlap, "u long, v long, inter long, n_union long").where(good).select("u", "v"))
+
+    spokes = star.where("node <> rep").select(F.col("node").alias("u"), F.col("n").alias("un"), F.col("rep").alias("v"), F.col("rep_n").alias("vn"))
+    links = measured(spokes.where(fit).select("u", "v").distinct())
+    comps = connected_components(links, scratch)
+    star = scratch.write(_rooted(star.select("key", "node", "n", "rep"), comps))
+    heads = star.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    heads = scratch.write(heads.where("lo < hi and members > 2").select("key", "members"))
+    if heads.isEmpty():
+        return comps
+    star = scratch.write(star.join(heads, "key").where("node <> rep"))
+    # Small buckets: the pairs whose ends are not yet in one component.
+    side = star.where(F.col("members") <= small_bucket)
+    u, v = (side.select("key", *(F.col(c).alias(x + y) for c, y in (("node", ""), ("n", "n"), ("root", "r")))) for x in "uv")
+    pairs = u.join(v, "key").where(f"u < v and ur <> vr and {fit}").select("u", "v")
+    large = scratch.write(star.where(F.col("members") > small_bucket).select("node", "rep", "root").distinct())
+    if not large.isEmpty():
+        nodes = scratch.write(large.select("node").distinct())
+        frequency = np.zeros(1 << CELL_BITS, np.int64)
+        for cell, n in keep_ids(sets, nodes, "node").select("words").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            frequency[cell] = n
+        schema = "rep long, node long, root long, n long, n_rep long, diffs long, w long, outside boolean, pos long, feature long"
+        feature = scratch.write(with_words(large, "node", "rep").select("rep", "node", "root", "a", "b").mapInArrow(_features(percent, frequency), schema))
+        u, v = (feature.select("rep", "feature", "n_rep", *(F.col(c).alias(x + c) for c in ("node", "root", "n", "diffs", "w", "outside", "pos"))) for x in "uv")
+        near = u.join(v.where("voutside").drop("n_rep"), ["rep", "feature"]).where("uroot <> vroot and (unode < vnode or not uoutside)").where(fit)
+        near = near.where(f"{100 + percent} * least(udiffs - upos, vdiffs - vpos) >= uw + vw - {100 - percent} * n_rep")
+        pairs = pairs.unionByName(near.select(F.col("unode").alias("u"), F.col("vnode").alias("v")))
+    found = measured(pairs.distinct())
+    return comps if found.isEmpty() else connected_components(links.unionByName(found), scratch)
 
 
 def _rooted(members: DataFrame, comps: DataFrame) -> DataFrame:

@@ -54,10 +54,10 @@ def make(seed):
 
 
 def test_against_all_pairs(spark):
-    for seed, k, rounds, small in ((2, 5, 4, 8), (3, 2, 4, 2)):
+    for seed, k, small in ((2, 5, 8), (3, 2, 2), (4, 2, 0)):
         rows = make(seed)
         df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, node int, key string").repartition(3)
-        got = near_duplicates(df, k=k, star_rounds=rounds, small_bucket=small).collect()
+        got = near_duplicates(df, k=k, small_bucket=small).collect()
         want = brute(rows, k)
         assert len(got) == len(rows)
         for x in got:
@@ -86,3 +86,35 @@ def test_components(spark):
     out = {x.node: x.root for x in connected_components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark)).collect()}
     assert out == {**{i: 0 for i in range(61)}, **{i: 100 for i in (100, 101, 102)}, **{i: 300 for i in range(300, 320)}}
     assert connected_components(spark.createDataFrame([], "u long, v long").where(F.lit(True)), Scratch(spark)).collect() == []
+
+
+def test_differences_lose_no_link():
+    """Every link between two sets of which one is not linked to the representative shares a leading difference."""
+    import numpy as np
+    import pyarrow as pa
+
+    from halogrid.llm import near_dup
+
+    def linked(x, y, percent):
+        both = len(np.intersect1d(x, y))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    for seed, percent in enumerate((80, 60, 90, 80, 80, 90)):
+        r = np.random.default_rng(seed)
+        new = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        every, pool = [np.unique(new(30))], new(20)
+        for _ in range(100):
+            x = every[r.integers(len(every)) if r.random() < 0.5 else 0]
+            x = np.unique(np.concatenate((x[r.random(len(x)) > 0.1], r.choice(pool, r.integers(6)))))
+            if len(x) > 5:
+                every.append(x)
+        frequency = np.bincount((np.concatenate(every) >> np.uint64(64 - near_dup.CELL_BITS)).astype(int), minlength=1 << near_dup.CELL_BITS)
+        ids = pa.array(range(len(every)), pa.int64())
+        words = pa.array([x.tobytes() for x in every])
+        batch = pa.record_batch({"rep": pa.array([0] * len(every), pa.int64()), "node": ids, "root": ids, "a": words, "b": pa.array([every[0].tobytes()] * len(every))})
+        t = next(near_dup._features(percent, frequency)([batch])).to_pandas()
+        t = t.merge(t[t.outside], on="feature", suffixes=("u", "v"))
+        t = t[(100 + percent) * np.minimum(t.diffsu - t.posu, t.diffsv - t.posv) >= t.wu + t.wv - (100 - percent) * t.n_repu]
+        found = set(zip(t.nodeu, t.nodev, strict=True))
+        links = {(u, v) for v, y in enumerate(every) if not linked(y, every[0], percent) for u, x in enumerate(every) if u and not np.array_equal(x, y) and linked(x, y, percent)}
+        assert links and links <= found
