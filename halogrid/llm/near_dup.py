@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, chunks, keep_ids, mix, session, shingles, table, utf8, words
 
 _U = np.uint64
-#: Shingle frequencies that order differences are kept in 2**CELL_BITS cells, whatever the input's size.
-CELL_BITS = 16
+#: Shingle frequencies that order differences are kept in 2**CELL_BITS cells (4 MB), whatever the input's size.
+CELL_BITS = 20
 
 
 def shingle_set(word: np.ndarray, k: int) -> np.ndarray:
@@ -184,9 +184,12 @@ def _features(percent: int, frequency: np.ndarray):
                 common = -(-(w - free) // 100) if w > free else -(-(w + 1) // (100 + percent))
                 keep = diffs - common + 1
                 feature = np.concatenate((extra << _U(1), lacks << _U(1) | _U(1)))[: max(0, keep)]
+                # What only this set has is no common difference, but it keeps its place.
+                place = np.flatnonzero(np.concatenate((np.sort(often[0]) > 1, np.ones(len(lacks), bool)))[: len(feature)])
+                feature = feature[place]
                 for c, value in zip(columns, (rep, node, root, len(x), len(y), diffs, w, w > free), strict=False):
                     out[c].append(np.full(len(feature), value, bool if c == "outside" else np.int64))
-                out["pos"].append(np.arange(len(feature)))
+                out["pos"].append(place)
                 out["feature"].append(feature.view(np.int64))
             yield pa.record_batch({c: pa.array(np.concatenate(v)) if v else pa.array([], pa.bool_() if c == "outside" else pa.int64()) for c, v in out.items()})
 
@@ -227,9 +230,9 @@ def _links(docs: DataFrame, star: DataFrame, k: int, percent: int, small_bucket:
     large = scratch.write(star.where(F.col("members") > small_bucket).select("node", "rep", "root").distinct())
     if not large.isEmpty():
         nodes = scratch.write(large.select("node").distinct())
-        frequency = np.zeros(1 << CELL_BITS, np.int64)
-        for cell, n in keep_ids(sets, nodes, "node").select("words").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            frequency[cell] = n
+        cells = keep_ids(sets, nodes, "node").select("words").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        frequency = np.zeros(1 << CELL_BITS, np.int32)
+        frequency[cells.column("cell").to_numpy()] = np.minimum(cells.column("n").to_numpy(), 1 << 30)
         schema = "rep long, node long, root long, n long, n_rep long, diffs long, w long, outside boolean, pos long, feature long"
         feature = scratch.write(with_words(large, "node", "rep").select("rep", "node", "root", "a", "b").mapInArrow(_features(percent, frequency), schema))
         u, v = (feature.select("rep", "feature", "n_rep", *(F.col(c).alias(x + c) for c in ("node", "root", "n", "diffs", "w", "outside", "pos"))) for x in "uv")
