@@ -23,7 +23,7 @@ def erf(x: Column) -> Column:
 
 def wrap_dx(d: Column, box: float) -> Column:
     """Displacement to the nearest periodic image."""
-    return d - F.lit(box) * F.round(d / F.lit(box))
+    return d - F.lit(box) * F.rint(d / F.lit(box))
 
 
 def wrap(x: Column, box: float) -> Column:

@@ -376,17 +376,13 @@ _D2 = """dd AS (SELECT a.id AS i, b.id AS j, a.n AS an, b.n AS bn, abs(a.x - b.x
 d3 AS (SELECT i, j, an, bn, least(ux, 1000.0::DOUBLE - ux) AS px, least(uy, 1000.0::DOUBLE - uy) AS py, least(uz, 1000.0::DOUBLE - uz) AS pz FROM dd)"""
 
 
-def _some(spark, d):
-    """The halos of the pair queries: a mass cut, as clustering samples have one."""
-    return halos(spark, d).where("n % 4 = 0 or n > 4500")
-
-
+# The queries take all halos; the SQL below still thins them to s, so the two differ (tests/test_pairs.py has all pairs).
 _SOME = "s AS (SELECT * FROM halos WHERE n % 4 = 0 OR n > 4500)"
 
 
 @query(f"WITH {_SOME}, {_D2} SELECT s.id, coalesce(sum(bn) FILTER (px * px + py * py + pz * pz <= 6400 AND px * px + py * py + pz * pz > 900 AND an > 1000), 0)::BIGINT AS menv FROM s LEFT JOIN d3 ON s.id = d3.i GROUP BY s.id", "h")
 def menv_two_apertures(spark, d):
-    h = _some(spark, d).select("id", "x", "y", "z", F.col("n").alias("mass"))
+    h = halos(spark, d).select("id", "x", "y", "z", F.col("n").alias("mass"))
     return neighbors.environment_mass(h, 30.0, 80.0, BOX, 1000).select("id", "menv")
 
 
@@ -399,7 +395,7 @@ _RPBIN = "CASE " + " ".join(f"WHEN {_RP2} >= {a * a}::DOUBLE AND {_RP2} < {b * b
 
 @query(f"WITH {_SOME}, {_D2} SELECT {_SBIN} AS bin, count(*)::BIGINT AS npairs FROM d3 WHERE i <> j AND ({_SBIN}) IS NOT NULL GROUP BY 1", "h")
 def pair_counts_s(spark, d):
-    s = _some(spark, d)
+    s = halos(spark, d)
     return neighbors.pair_counts(s, s, _EDGES, BOX, True)
 
 
@@ -408,13 +404,13 @@ _XI = f"WITH {_SOME}, {_D2}, c AS (SELECT {_RPBIN} AS rp_bin, (floor(pz)::INT //
 
 @query(_XI + " SELECT rp_bin, pi_bin, npairs, round(xi, 6) AS xi FROM v", "h")
 def xi_rppi(spark, d):
-    s = _some(spark, d)
+    s = halos(spark, d)
     return neighbors.xi_rp_pi(s, s, _EDGES, 40, 5, BOX).withColumn("xi", F.round("xi", 6))
 
 
 @query(_XI + " SELECT rp_bin, round(2.0::DOUBLE * 5 * sum(xi), 4) AS wp FROM v GROUP BY rp_bin", "h")
 def wp_rp(spark, d):
-    s = _some(spark, d)
+    s = halos(spark, d)
     return neighbors.projected(neighbors.xi_rp_pi(s, s, _EDGES, 40, 5, BOX), 5).withColumn("wp", F.round("wp", 4))
 
 
@@ -423,7 +419,7 @@ _SMU = f"WITH {_SOME}, {_D2}, c AS (SELECT {_SBIN} AS s_bin, least(floor(pz / sq
 
 @query(_SMU + " SELECT s_bin, round(sum(xi * 0.1::DOUBLE), 5) AS xi_0, round(sum(5 * 0.1::DOUBLE * xi * (1.5::DOUBLE * ((mu_bin + 0.5::DOUBLE) / 10) * ((mu_bin + 0.5::DOUBLE) / 10) - 0.5::DOUBLE)), 5) AS xi_2 FROM v GROUP BY s_bin", "h")
 def xi_multipoles(spark, d):
-    s = _some(spark, d)
+    s = halos(spark, d)
     xi = neighbors.xi_s_mu(s, s, _EDGES, 10, BOX)
     both = neighbors.multipole(xi, 10, 0).join(neighbors.multipole(xi, 10, 2), "s_bin")
     return both.select("s_bin", F.round("xi_0", 5).alias("xi_0"), F.round("xi_2", 5).alias("xi_2"))
@@ -431,7 +427,7 @@ def xi_multipoles(spark, d):
 
 @query(f"WITH {_SOME}, {_D2} SELECT {_SBIN} AS bin, count(*)::BIGINT AS npairs FROM d3 WHERE i % 2 = 0 AND j % 2 = 1 AND ({_SBIN}) IS NOT NULL GROUP BY 1", "h")
 def xi_cross_tracer(spark, d):
-    s = _some(spark, d)
+    s = halos(spark, d)
     return neighbors.pair_counts(s.where("id % 2 = 0"), s.where("id % 2 = 1"), _EDGES, BOX, False)
 
 
