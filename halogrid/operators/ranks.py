@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..llm.common import Scratch
+
 
 def bin_index(x: Column, edges: list[float], rule: str = "open") -> Column:
     """Index of the bin of x, or null.
@@ -43,14 +45,15 @@ def rank_in_bins(df: DataFrame, value: str, mass: str, edges: list[float], key:
 def ordered_index(df: DataFrame, order: list[str], by: str | None = None, weight: str | None = None, out: str = "_index") -> DataFrame:
     """Global row number from 0 (or exclusive prefix sum of weight) in this order, inside each group `by`, without one-task windows.
 
-    Rows are range-partitioned; each partition numbers its own rows, and sums per (group, partition) are shifted by a window
-    over that small table.
+    Rows are range-partitioned; each partition numbers its own rows and is written, and sums per (group, partition) are
+    shifted by a window over that small table.
     """
     keys = [by] if by else []
     r = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
     w = W.partitionBy("_part", *keys).orderBy(*order)
     x = F.col(weight) if weight else F.lit(1)
     r = r.withColumn("_local", F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    r = Scratch(df.sparkSession).write(r)  # run twice, rows and sums may be of different partitions
     total = r.groupBy("_part", *keys).agg(F.sum(x).alias("_sum"))
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as partitions
     total = total.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long"))).drop("_sum")
