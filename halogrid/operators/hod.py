@@ -118,13 +118,14 @@ def satellites(particles: DataFrame, tracers: dict[str, Tracer], central: DataFr
 def nfw_satellites(halos: DataFrame, name: str, t: Tracer, box: float, seed: int, most: int = 200) -> DataFrame:
     """Poisson numbers of satellites on NFW profiles (columns x, y, z, vx, vy, vz, mass, r98, conc, sigma_v); tracers are drawn independently.
 
-    The number inverts the Poisson distribution at a uniform number, by its terms up to `most`, which exceeds any mean that
-    these occupations reach; the radius inverts the enclosed-mass function by bisection.
+    The number inverts the Poisson distribution at a uniform number, by its terms up to `most`; a mean over most / 2 is split
+    into equal ones below that, whose numbers are summed; the radius inverts the enclosed-mass function by bisection.
     """
-    lam = F.least(mean_satellite(name, t, F.col("mass")) * F.lit(t.ic), F.lit(most / 2.0))
-    h = halos.withColumn("_lam", lam).withColumn("_u", uniform(F.col("id"), seed))
-    steps = f"""aggregate(sequence(1, {most}), named_struct('p', exp(-_lam), 'cdf', exp(-_lam), 'n', 0),
-      (a, k) -> if(_u < a.cdf, a, named_struct('p', a.p * _lam / k, 'cdf', a.cdf + a.p * _lam / k, 'n', k)), a -> a.n)"""
+    lam = mean_satellite(name, t, F.col("mass")) * F.lit(t.ic)
+    h = halos.withColumn("_parts", F.greatest(F.lit(1), F.ceil(lam / F.lit(most / 2.0)).cast("int"))).withColumn("_lam", lam / F.col("_parts"))
+    h = h.withColumn("_us", F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: uniform(F.when(i == 1, F.col("id")).otherwise(F.xxhash64("id", i)), seed)))
+    steps = f"""aggregate(_us, 0, (total, _u) -> total + aggregate(sequence(1, {most}), named_struct('p', exp(-_lam), 'cdf', exp(-_lam), 'n', 0),
+      (a, k) -> if(_u < a.cdf, a, named_struct('p', a.p * _lam / k, 'cdf', a.cdf + a.p * _lam / k, 'n', k)), a -> a.n))"""
     h = h.withColumn("_n", F.expr(steps)).where("_n > 0").withColumn("sat", F.explode(F.expr("sequence(1, _n)")))
     key = F.xxhash64("id", "sat")
     h = h.withColumn("_m", uniform(key, seed + 1) * F.expr("ln(1 + conc) - conc / (1 + conc)"))
