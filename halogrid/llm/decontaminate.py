@@ -89,12 +89,18 @@ class Index:
     def matches(self, word: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], lo: int) -> list[tuple[int, int, int, float]]:
         """(item, first word, number of words, similarity): the best window of each item, for one document's words."""
         best: dict[int, tuple[float, int, int]] = {}
+        short: set[tuple[int, int]] = set()
         for order, (place, which, all_) in hits.items():
             shingle = all_[lo : lo + len(word) - order + 1]
             starts: dict[int, set[int]] = {}
             for p, i in zip((place - lo).tolist(), which.tolist(), strict=True):
                 for n in self.first[order][1][i]:
                     width = n - order + 1  # shingles of a window
+                    if len(word) < n:
+                        # The whole text is the one window; no similarity exceeds the ratio of the numbers of shingles.
+                        if 100 * (len(word) - order + 1) >= self.percent * width - 1e-9:
+                            short.add((order, n))
+                        continue
                     starts.setdefault(n, set()).update(range(max(0, p - width + 1), min(p, len(word) - n) + 1))
             for n, at in starts.items():
                 if not at:
@@ -111,6 +117,13 @@ class Index:
                                 item = int(group.ids[j])
                                 if 100 * sim >= self.percent - 1e-9 and (item not in best or sim > best[item][0]):
                                     best[item] = sim, s, n
+        for order, n in short:
+            shingle = hits[order][2][lo : lo + len(word) - order + 1]
+            for i, own in zip(self.groups[n].ids, self.groups[n].sets, strict=True):
+                sim = similarity(shingle, own)
+                item = int(i)
+                if 100 * sim >= self.percent - 1e-9 and (item not in best or sim > best[item][0]):
+                    best[item] = sim, 0, len(word)
         return [(item, s, n, sim) for item, (sim, s, n) in sorted(best.items())]
 
 
@@ -152,7 +165,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
 
     Words are runs of letters, digits and bytes over 127, A-Z lower-cased.  A window matches an item of as many words
     if the weighted similarity of their k-word shingles is percent / 100 or more; an item of fewer than k words is one
-    shingle, so it matches its exact words.  Null, empty and shorter texts match nothing, nor do null or blank items.
+    shingle, so it matches its exact words.  A text of fewer words than the item is one window, all of it.  Null and empty
+    texts match nothing, nor do null or blank items.
     A null doc_id is reported as null; rows that repeat are reported each.  Other columns are ignored.
     """
     spark = session(docs.sparkSession)
