@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Hash-based search, a trained model and a tokenizer are not SQL; tests/llm checks the rows against brute force.
+#: Hash-based search, a trained model and a tokenizer are not SQL; tests/llm checks ids, columns and lengths, not the rows.
 ORACLE_SQL = None
 
 
