@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..llm.common import Scratch
+#: Rows of the sample that sets the bounds of ordered_index, for each shuffle partition and at most.
+SAMPLE_ROWS, MOST_SAMPLED = 64, 1 << 16
 
 
 def bin_index(x: Column, edges: list[float], rule: str = "open") -> Column:
@@ -42,22 +46,48 @@ def rank_in_bins(df: DataFrame, value: str, mass: str, edges: list[float], key:
     return ranked.drop("_n", "_index").unionByName(d.where("_bin is null").withColumn(out, F.lit(0.0))).drop("_bin")
 
 
+def _bounds(df: DataFrame, order: list[str]) -> tuple[list, StructType]:
+    """Rows that cut df, in this order, into about as many parts as there are shuffle partitions: a sample by hash, brought to the driver once."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(SAMPLE_ROWS * parts, MOST_SAMPLED)
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(order)]
+    sample = df.select(*keys, F.xxhash64(*order).alias("h")).orderBy("h").limit(most).drop("h")
+    rows = sample.orderBy(*sample.columns).collect()
+    at = sorted({len(rows) * i // parts for i in range(1, parts)} - {0})
+    return [rows[i] for i in at], sample.schema
+
+
 def ordered_index(df: DataFrame, order: list[str], by: str | None = None, weight: str | None = None, out: str = "_index") -> DataFrame:
     """Global row number from 0 (or exclusive prefix sum of weight) in this order, inside each group `by`, without one-task windows.
 
-    Rows are range-partitioned; each partition numbers its own rows and is written, and sums per (group, partition) are
-    shifted by a window over that small table.
+    The order must be unique for a defined result.  Each row gets the number of the bounds that do not exceed it as its
+    bucket, a column like any other: rows are numbered inside (bucket, group), the sums of the buckets, few rows, give
+    what comes before them, and nothing rests on which partition a row falls into.  Bounds are found by two levels of
+    comparison, so that a row meets about twice the root of their number.
     """
-    keys = [by] if by else []
-    r = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    spark, keys = df.sparkSession, [by] if by else []
+    found, schema = _bounds(df, order)
+    r = df
+    if found:
+        step = math.isqrt(len(found)) + 1
+        low = [found[i : i + step] for i in range(0, len(found), step)]
+        kind = schema.simpleString()
+        one = spark.createDataFrame([([b[0] for b in low], low)], f"_tops array<{kind}>, _low array<array<{kind}>>")
+        r = r.crossJoin(F.broadcast(one))  # one row, MOST_SAMPLED bounds at most
+        me = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+        top = F.size(F.filter("_tops", lambda b: b <= me))
+        inner = F.when(top > 0, F.size(F.filter(F.element_at("_low", F.greatest(top, F.lit(1))), lambda b: b <= me))).otherwise(0)
+        r = r.withColumn("_part", F.greatest(top - 1, F.lit(0)) * step + inner).drop("_tops", "_low")
+    else:
+        r = r.withColumn("_part", F.lit(0))
     w = W.partitionBy("_part", *keys).orderBy(*order)
     x = F.col(weight) if weight else F.lit(1)
-    r = r.withColumn("_local", F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    r = Scratch(df.sparkSession).write(r)  # run twice, rows and sums may be of different partitions
+    zero = F.lit(0).cast("long")
     total = r.groupBy("_part", *keys).agg(F.sum(x).alias("_sum"))
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as partitions
-    total = total.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long"))).drop("_sum")
-    return r.join(F.broadcast(total), ["_part", *keys]).withColumn(out, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as buckets
+    total = total.withColumn("_before", F.coalesce(F.sum("_sum").over(before), zero)).drop("_sum")
+    r = r.withColumn("_local", F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, -1)), zero))
+    return r.join(total, ["_part", *keys]).withColumn(out, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
 
 
 def prefix_sum(df: DataFrame, value: str, order: list[str], out: str, initial: bool = True, offset: int = 0) -> DataFrame:

@@ -1,5 +1,7 @@
 """Halo-particle range joins: the particles of all halos, and none outside the ranges."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from halogrid.operators import ranks
@@ -40,3 +42,21 @@ def test_index_where_partitions_are_merged_by_size(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("parts", [8, 200])
+def test_index_of_many_rows_read_with_other_columns(spark, parts):
+    """A sample sees few of the rows, and pruning changes what is shuffled: numbers must not depend on either."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        df = spark.range(600_000).select((F.col("id") * 7919 % 600_011).alias("key"), F.lit("x" * 40).alias("wide"))
+        want = df.select("key").toPandas()["key"].rank().astype(int) - 1
+        for cols in (["key"], ["key", "wide"]):
+            for _ in range(2):
+                got = ranks.ordered_index(df, ["key"]).select("_index", *cols)
+                one = got.agg(F.count("*").alias("n"), F.countDistinct("_index").alias("d"), F.max("_index").alias("m"), F.sum(F.col("_index") * F.col("key")).alias("s")).first()
+                assert (one.n, one.d, one.m) == (600_000, 600_000, 599_999)
+                assert one.s == int((want * (np.arange(600_000) * 7919 % 600_011)).sum())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
