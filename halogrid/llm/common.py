@@ -41,7 +41,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/halogrid-checkpoints"
+        top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not top:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            top = "/tmp/halogrid-checkpoints"
         self.top = f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self.drop)
@@ -110,8 +114,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S with S[e] - S[s] = sum of (byte + 1) * B**i for s <= i < e, so that (S[e] - S[s]) * B**-s hashes data[s:e]."""
+def wrapping_sums(data: np.ndarray) -> np.ndarray:
+    """S with S[e] - S[s] = sum of (byte + 1) * B**i modulo 2**64 for s <= i < e.
+
+    Fast, but words that double by a swap of two letters defeat this modulus: only for choices that any function of the
+    bytes may make (buckets of n-grams, anchors), never to tell that two strings are equal.
+    """
     n = len(data)
     s = np.zeros(n + 1, _U)
     v = data.astype(_U)
@@ -121,9 +129,66 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return s
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inv = powers(len(sums))[1]
-    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(_U))
+#: Two primes under 2**31, each with a base drawn at random once; two different strings of n bytes agree in both hashes
+#: for at most n**2 of the 2**62 pairs of bases.
+PRIMES, BASES = (2147483647, 2147483629), (1350490027, 894785713)
+#: Bytes after which the sums are reduced, so that they stay below 2**62.
+_REDUCE = 1 << 22
+#: A multiple of each prime above all sums, so that differences stay positive.
+_LIFT = tuple(_U(p << 32) for p in PRIMES)
+_prime_pow: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """B**i and B**-i modulo each prime for i up to n."""
+    global _prime_pow
+    if not _prime_pow or len(_prime_pow[0][0]) <= n:
+        size = 1 << max(18, n.bit_length() + 1)
+        out = []
+        for p, base in zip(PRIMES, BASES, strict=True):
+            both = []
+            for b in (base, pow(base, -1, p)):
+                t = np.ones(size, _U)
+                have, step = 1, b
+                while have < size:
+                    more = min(have, size - have)
+                    t[have : have + more] = t[:more] * _U(step) % _U(p)
+                    have += more
+                    step = step * step % p
+                both.append(t)
+            out.append((both[0], both[1]))
+        _prime_pow = out
+    return _prime_pow
+
+
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each prime, S with S[e] - S[s] = sum of (byte + 1) * B**i for s <= i < e, so that times B**-s it hashes data[s:e]."""
+    n = len(data)
+    v = data.astype(_U)
+    v += _U(1)
+    out = []
+    for p, (power, _) in zip(PRIMES, prime_powers(n), strict=True):
+        s = np.zeros(n + 1, _U)
+        for lo in range(0, n, _REDUCE):
+            hi = min(n, lo + _REDUCE)
+            np.cumsum(v[lo:hi] * power[lo:hi], out=s[lo + 1 : hi + 1])
+            if lo:
+                s[lo + 1 : hi + 1] += s[lo] % _U(p)
+        out.append(s)
+    return tuple(out)
+
+
+def span_values(sums: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Both primes' hashes of data[start:end] in one word."""
+    out = None
+    for s, p, lift, (_, inv) in zip(sums, PRIMES, _LIFT, prime_powers(len(sums[0])), strict=True):
+        h = (s[end] + lift - s[start]) % _U(p) * inv[start] % _U(p)
+        out = h if out is None else out << _U(32) | h
+    return out
+
+
+def span_hash(sums: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix(span_values(sums, start, end) ^ (end - start).astype(_U) * _U(_BASE))
 
 
 def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

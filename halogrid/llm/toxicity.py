@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, _lower, _signs, chunks, mix, powers, prefix_sums, session, span_hash, table, utf8
+from .common import BATCH_ROWS, _lower, _signs, chunks, mix, powers, prefix_sums, session, span_hash, table, utf8, wrapping_sums
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 16
@@ -43,7 +43,7 @@ def bag(texts: list[bytes]) -> Bag:
     data = np.where(blank, np.uint8(32), data)
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     start, end = edge[0::2], edge[1::2]
-    sums = prefix_sums(data)
+    sums = wrapping_sums(data)
     at = np.cumsum([1, *(len(t) + 1 for t in texts)])
     inv = powers(len(data))[1]
     buckets, inside = [], []
@@ -55,7 +55,7 @@ def bag(texts: list[bytes]) -> Bag:
             ok &= ~blank[i : i + m]
         buckets.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
         inside.append(ok)
-    return Bag(span_hash(sums, start, end), np.searchsorted(start, at), start, end, buckets, inside)
+    return Bag(span_hash(prefix_sums(data), start, end), np.searchsorted(start, at), start, end, buckets, inside)
 
 
 def gram_counts(length: np.ndarray) -> np.ndarray:
