@@ -6,14 +6,17 @@ key with probability (1 - (1 - s**rows)**halves)**2; at s = 0.8 the default of 2
 link in 100,000, for 48 minima instead of the 576 that 144 separate keys of four rows would take.
 
 Texts with equal shingle sets form a class, which enters the search once.  In each bucket every class is compared
-with the bucket's smallest, r; the rest of the pairs need a look only where their ends are not yet in one component.
-In a large bucket these are found by their differences from r, the shingles that r lacks or that they lack.  Let u and
-v have m and d of them each, lacking and extra, and c in common.  Then u and v share |r| - m_u - m_v + c shingles of
+with the bucket's smallest; the rest of the pairs need a look only where their ends are not yet in one component.
+In a large bucket these are found by their differences from a reference r, the shingles that r lacks or that they lack.
+r may be any set, so buckets with the same sets share one: each set prefers, of the smallest of its buckets, one that is
+like it and that many sets know, and a bucket takes what most of its sets prefer.  Let u and v have m and d of them each, lacking and extra, and c in common.  Then u and v share |r| - m_u - m_v + c shingles of
 |r| + d_u + d_v - c, so that similarity s takes c >= (m_u + m_v + s (d_u + d_v) - (1 - s) |r|) / (1 + s); with v not
 linked to r this is above (m_u + s d_u) / (1 + s), and as v must make up what it lacks for a link to r itself, c is
 also at least m_v + s d_v - (1 - s) |r| > 0.  So a link needs a common difference among the first few of each
 in any one order of the differences (rarest first, to meet least often), and at places that leave room for c.  This
-loses no link, and no bucket, however large, is expanded into all pairs or collected.
+loses no link and collects no bucket.  The worst case is a bucket of m sets that share one of their rarest differences
+and all else but just under the threshold: there the join by difference compares places of all m * m pairs, as any
+join by shared elements does, but makes rows only of those that still may be links.
 """
 
 from __future__ import annotations
@@ -167,7 +170,7 @@ def _cells(batches):
 
 
 def _features(percent: int, frequency: np.ndarray):
-    """The leading differences of a set (a) from its bucket's representative (b), in one order for all sets of the representative."""
+    """The leading differences of a set (a) from its reference (b), in one order for all sets of the reference; at place -1, that the two are linked."""
     columns = ("rep", "node", "root", "n", "n_rep", "diffs", "w", "outside", "pos", "feature")
 
     def run(batches):
@@ -187,6 +190,8 @@ def _features(percent: int, frequency: np.ndarray):
                 # What only this set has is no common difference, but it keeps its place.
                 place = np.flatnonzero(np.concatenate((np.sort(often[0]) > 1, np.ones(len(lacks), bool)))[: len(feature)])
                 feature = feature[place]
+                if w <= free and node != rep:
+                    place, feature = np.append(place, -1), np.append(feature, _U(0))
                 for c, value in zip(columns, (rep, node, root, len(x), len(y), diffs, w, w > free), strict=False):
                     out[c].append(np.full(len(feature), value, bool if c == "outside" else np.int64))
                 out["pos"].append(place)
@@ -196,6 +201,24 @@ def _features(percent: int, frequency: np.ndarray):
     return run
 
 
+def _references(members: DataFrame, overlap: DataFrame) -> DataFrame:
+    """(node, rep, root) of the sets that a bucket of members (key, node, root, rep) compares by differences, once for all buckets that share a reference.
+
+    A set prefers, of the smallest sets of its buckets, the one with the largest product of similarity (overlap: u, v,
+    inter, n_union; 0 if not measured) and log of the number of sets that know it; a bucket's reference is what most of
+    its sets prefer.
+    """
+    known = members.select("node", "rep").distinct()
+    often = known.groupBy("rep").agg(F.count("*").alias("sets"))
+    like = overlap.select(F.col("u").alias("node"), F.col("v").alias("rep"), F.expr("inter / n_union").alias("like"))
+    known = known.join(often, "rep").join(like, ["node", "rep"], "left")
+    liked = known.groupBy("node").agg(F.max(F.struct((F.log2("sets") * F.coalesce("like", F.lit(0.0))).alias("x"), F.col("rep").alias("r")))["r"].alias("liked"))
+    members = members.select("key", "node", "root").join(liked, "node")
+    votes = members.groupBy("key", "liked").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy("key").agg(F.max(F.struct("n", "liked"))["liked"].alias("rep"))
+    return members.join(chosen, "key").where("node <> rep").select("node", "rep", "root").distinct()
+
+
 def _links(docs: DataFrame, star: DataFrame, k: int, percent: int, small_bucket: int, scratch: Scratch) -> DataFrame | None:
     """(node, root) of the classes that have links, or None."""
     from .components import connected_components
@@ -212,10 +235,11 @@ def _links(docs: DataFrame, star: DataFrame, k: int, percent: int, small_bucket:
         return pairs.join(sets.select(F.col("node").alias(u), F.col("words").alias("a")), u).join(sets.select(F.col("node").alias(v), F.col("words").alias("b")), v)
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return scratch.write(with_words(pairs, "u", "v").select("u", "v", "a", "b").mapInArrow(_overlap, "u long, v long, inter long, n_union long").where(good).select("u", "v"))
+        return scratch.write(with_words(pairs, "u", "v").select("u", "v", "a", "b").mapInArrow(_overlap, "u long, v long, inter long, n_union long"))
 
     spokes = star.where("node <> rep").select(F.col("node").alias("u"), F.col("n").alias("un"), F.col("rep").alias("v"), F.col("rep_n").alias("vn"))
-    links = measured(spokes.where(fit).select("u", "v").distinct())
+    overlap = measured(spokes.where(fit).select("u", "v").distinct())
+    links = overlap.where(good).select("u", "v")
     comps = connected_components(links, scratch)
     star = scratch.write(_rooted(star.select("key", "node", "n", "rep"), comps))
     heads = star.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -227,7 +251,7 @@ def _links(docs: DataFrame, star: DataFrame, k: int, percent: int, small_bucket:
     side = star.where(F.col("members") <= small_bucket)
     u, v = (side.select("key", *(F.col(c).alias(x + y) for c, y in (("node", ""), ("n", "n"), ("root", "r")))) for x in "uv")
     pairs = u.join(v, "key").where(f"u < v and ur <> vr and {fit}").select("u", "v")
-    large = scratch.write(star.where(F.col("members") > small_bucket).select("node", "rep", "root").distinct())
+    large = scratch.write(_references(star.where(F.col("members") > small_bucket), overlap))
     if not large.isEmpty():
         nodes = scratch.write(large.select("node").distinct())
         cells = keep_ids(sets, nodes, "node").select("words").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -235,11 +259,13 @@ def _links(docs: DataFrame, star: DataFrame, k: int, percent: int, small_bucket:
         frequency[cells.column("cell").to_numpy()] = np.minimum(cells.column("n").to_numpy(), 1 << 30)
         schema = "rep long, node long, root long, n long, n_rep long, diffs long, w long, outside boolean, pos long, feature long"
         feature = scratch.write(with_words(large, "node", "rep").select("rep", "node", "root", "a", "b").mapInArrow(_features(percent, frequency), schema))
+        own = feature.where("pos = -1").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+        feature = feature.where("pos >= 0")
         u, v = (feature.select("rep", "feature", "n_rep", *(F.col(c).alias(x + c) for c in ("node", "root", "n", "diffs", "w", "outside", "pos"))) for x in "uv")
         near = u.join(v.where("voutside").drop("n_rep"), ["rep", "feature"]).where("uroot <> vroot and (unode < vnode or not uoutside)").where(fit)
         near = near.where(f"{100 + percent} * least(udiffs - upos, vdiffs - vpos) >= uw + vw - {100 - percent} * n_rep")
-        pairs = pairs.unionByName(near.select(F.col("unode").alias("u"), F.col("vnode").alias("v")))
-    found = measured(pairs.distinct())
+        pairs = pairs.unionByName(near.select(F.col("unode").alias("u"), F.col("vnode").alias("v"))).unionByName(own)
+    found = measured(pairs.distinct()).where(good).select("u", "v")
     return comps if found.isEmpty() else connected_components(links.unionByName(found), scratch)
 
 
@@ -250,7 +276,7 @@ def _rooted(members: DataFrame, comps: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs with one row of each group: that of the component's smallest doc_id, all columns as they are.
 
-    Of rows that repeat a doc_id one stays (the first by text); rows with a null doc_id all stay.
+    Of rows that repeat a doc_id one stays (the first by text, then by a hash of the row); rows with a null doc_id all stay.
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.write(near_duplicates(docs, k=k).where("doc_id is not null"))
@@ -260,7 +286,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     if again.isEmpty():
         return kept
     # Only the rows of ids that repeat are moved.
-    first = keep_ids(kept, again, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), F.col("text")).alias("r")).select("r.*")
+    first = keep_ids(kept, again, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), F.struct("text", F.md5(F.to_json(F.struct(*kept.columns))))).alias("r")).select("r.*")
     return keep_ids(kept, again, "doc_id", "left_anti").unionByName(first)
 
 
