@@ -14,22 +14,59 @@ def odd(spark):
     return spark.createDataFrame([(d, t, "x", 1.0, "y") for d, t in ODD], "doc_id long, text string, held_out string, score double, items string")
 
 
-def test_nearest_recall_and_ties(spark):
+def test_bit_counts():
+    r = np.random.default_rng(0)
+    for n in (1, 2, 3, 37):
+        w = [r.integers(0, 1 << 63, 3, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 3, dtype=np.uint64) for _ in range(n)]
+        bits = lambda x: np.unpackbits(x.view(np.uint8), bitorder="little")
+        want = sum(bits(x).astype(int) for x in w)
+        planes = ann.added(ann.counted(w[: n // 2]), ann.counted(w[n // 2 :]))
+        for least in range(1, n + 3):
+            assert (bits(ann.at_least(planes, least)) == (want >= least)).all()
+
+
+def brute_nearest(rows, k, modulus):
+    """(query_id, rank, vec_id, score) of every row that is a query, by comparing it with all other rows."""
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    out = []
+    for a, (q, x) in enumerate(ok):
+        if q % modulus == 0:
+            scores = sorted((-float((x * y).sum()), i) for b, (i, y) in enumerate(ok) if b != a and len(y) == len(x))[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    return out
+
+
+def test_nearest_of_few_rows_is_exact(spark):
+    """Tables of up to `verified` vectors are verified whole: ties, repeated ids and rows, other lengths and odd vectors."""
     r = np.random.default_rng(1)
-    x = r.normal(size=(1200, 16))
+    x = r.integers(-3, 4, (150, 4)).tolist()
+    rows = [(i, [float(v) for v in x[i]]) for i in range(150)] + [(20, [1.0, 0.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0, 0.0]), (21, [1.0, 0.0, 0.0, 0.0]), (40, [1.0, 2.0]), (41, [1.0, 1.0])]
+    rows += [(60, None), (61, []), (80, [0.0] * 4), (81, [float("nan"), 1.0, 1.0, 1.0]), (82, [float("inf")] * 4), (83, [None, 1.0, 1.0, 1.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame([(i, v, "x", 1, 2.0, 3) for i, v in rows], "vec_id long, embedding array<double>, score string, row int, dim double, block int").repartition(3)
+    got = sorted((g.query_id, g.rank, g.vec_id, g.score) for g in ann.nearest(df, k=7).collect())
+    assert got == sorted(brute_nearest(rows, 7, 20))
+    assert ann.nearest(df.limit(0)).collect() == []
+
+
+def test_nearest_recall(spark):
+    """At least 0.9 of the true neighbours, on random vectors that fill several blocks' worth of candidates and on the embeddings table."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(6000, 16))
     x[5:60] = x[4]
-    rows = [(i, [float(v) for v in x[i]]) for i in range(1200)] + [(2000, None), (2001, []), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (None, [1.0] * 16), (0, [float(v) for v in x[0]])]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10).collect()
-    hits = 0
-    for q in range(0, 1200, 20):
-        s = (x * x[q]).sum(1)
-        want = [i for i in np.lexsort((np.arange(1200), -s)) if i != q][:10]
-        mine = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q)
-        assert [m[0] for m in mine] == list(range(1, 11))
-        assert all(abs(m[2] - s[m[1]]) < 1e-9 for m in mine)
-        hits += len(set(want) & {m[1] for m in mine})
-    assert len(got) == 600 and hits >= 0.9 * 600
-    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
+    made = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for df, k in ((made, 10), (spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 20)):
+        rows = [(e.vec_id, e.embedding) for e in df.select("vec_id", "embedding").collect()]
+        ids, v = np.array([i for i, _ in rows]), np.array([e for _, e in rows], float)
+        got = ann.nearest(df, k=k, verified=300).collect()
+        hits = total = 0
+        for q in np.flatnonzero(ids % 20 == 0):
+            s = (v * v[q]).sum(1)
+            best = np.sort(np.delete(s, q))[::-1][k - 1]
+            mine = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == ids[q])
+            assert [m[0] for m in mine] == list(range(1, k + 1)) and mine == sorted(mine, key=lambda m: (-m[2], m[1]))
+            hits += sum(m[2] >= best - 1e-12 for m in mine)
+            total += k
+        assert hits >= 0.9 * total, hits / total
 
 
 def test_leaks_against_brute_force(spark):
