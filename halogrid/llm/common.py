@@ -178,6 +178,12 @@ def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
+def prefix_residues(data: np.ndarray) -> tuple[np.ndarray, np.uint64, np.ndarray]:
+    """prefix_sums of the first prime, reduced, with the prime and B**-i."""
+    p = _U(PRIMES[0])
+    return prefix_sums(data)[0] % p, p, prime_powers(len(data) + 1)[0][1]
+
+
 def span_values(sums: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Both primes' hashes of data[start:end] in one word."""
     out = None

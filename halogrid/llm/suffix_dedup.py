@@ -2,12 +2,13 @@
 
 Every 100-byte window picks one anchor: of its grams of GRAM bytes the one with the least hash (the rightmost of equal
 ones).  Equal windows pick equal anchors at equal places, so a window can only repeat one that has the same anchor, and
-the windows of one anchor place are one run of starts, its context.  Anchors that occur once in the corpus drop out.
-Equal whole contexts are settled by an aggregate of their smallest occurrence.  Where an anchor has several different
-contexts, their suffixes are sorted: a mergesort whose comparisons find the common extension of two suffixes by binary
-search over prefix polynomial hashes; runs of suffixes with a common extension of a whole window are verified byte by
-byte.  Anchors with very many different contexts are settled window by window, by an aggregate on the window's hash,
-so that no group, however large, comes together in one task.
+the windows of one anchor place are one run of starts, its context.  Anchors that occur once in the corpus drop out, at
+first those that a bitmap of bounded size does not know.
+Equal whole contexts, told by 128-bit BLAKE2b digests of their bytes, are settled by an aggregate of their smallest
+occurrence.  Where an anchor has several different contexts, their suffixes are sorted: a mergesort whose comparisons
+find the common extension of two suffixes by binary search over prefix polynomial hashes; runs of suffixes with a common
+extension of a whole window are verified byte by byte.  The windows of anchors with very many different contexts are
+grouped by their bytes themselves, an aggregate that no group, however large, brings together in one task.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, keep_ids, mix, powers, prefix_sums, session, span_hash, table, utf8
+from .common import Scratch, chunks, keep_ids, mix, powers, prefix_residues, session, table, utf8, wrapping_sums
 
 _U = np.uint64
 GRAM = 32
@@ -27,19 +28,21 @@ GRAM = 32
 SORT_CONTEXTS = 2000
 #: Contexts, of several anchors, in one sorting task.
 BUCKET_CONTEXTS = 2000
+#: Bits of the bitmap of recurring anchors: 16 MB at any size of the input.
+BITMAP_BITS = 27
 #: Order of a null doc_id: after all others.
 LAST = (1 << 63) - 1
 
 
 def anchors(texts: list[bytes], width: int = 100, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of each context: its text's index, anchor hash, context hash, first window start, number of windows."""
+    """Of each context: its text's index, anchor hash, first window start, number of windows."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     lens = np.array([len(t) for t in texts], np.int64)
     base = np.cumsum(lens) - lens
     none = np.zeros(0, np.int64)
     if len(data) < width:
-        return none, none.astype(_U), none.astype(_U), none, none
-    sums = prefix_sums(data)
+        return none, none.astype(_U), none, none
+    sums = wrapping_sums(data)
     n = len(data) - gram + 1
     h = sums[gram:] - sums[:-gram]
     h *= powers(len(data))[1][:n]
@@ -57,7 +60,7 @@ def anchors(texts: list[bytes], width: int = 100, gram: int = GRAM) -> tuple[np.
     np.add.at(ok, (base + lens - width + 1)[long], -1)
     start = np.flatnonzero(np.cumsum(ok[:-1]))
     if not len(start):
-        return none, none.astype(_U), none.astype(_U), none, none
+        return none, none.astype(_U), none, none
     least = low[start]
     # A context ends where the anchor's place changes: it leaves the window, or a gram as low or lower comes in.
     new = h[start + want - 1] == least
@@ -66,11 +69,10 @@ def anchors(texts: list[bytes], width: int = 100, gram: int = GRAM) -> tuple[np.
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     at = start[first]
-    context = span_hash(sums, at, at + count + width - 1)
     doc = np.searchsorted(base, at, "right") - 1
     while (lens[doc] == 0).any():  # empty texts share a base with the next
         doc = np.where(lens[doc] == 0, doc - 1, doc)
-    return doc, least[first], context, at - base[doc], count
+    return doc, least[first], at - base[doc], count
 
 
 def _anchor_counts(width: int):
@@ -84,19 +86,35 @@ def _anchor_counts(width: int):
     return run
 
 
-def _anchor_rows(width: int):
+def _bitmap(anchors_: DataFrame) -> np.ndarray:
+    """Bitmap of these anchors by their leading BITMAP_BITS bits: 2**(BITMAP_BITS - 6) words, at most, reach the driver."""
+    word = F.shiftrightunsigned("anchor", 70 - BITMAP_BITS).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - BITMAP_BITS}) & 63 as int))")
+    t = anchors_.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[t.column("word").to_numpy()] = t.column("bits").to_numpy()
+    return out.view(_U)
+
+
+def _anchor_rows(width: int, bitmap: np.ndarray):
     def run(batches):
         for b in batches:
             texts = utf8(b.column(2))
             doc, mark = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in chunks(texts):
-                i, anchor, context, start, count = anchors(texts[lo:hi], width)
+                i, anchor, start, count = anchors(texts[lo:hi], width)
+                known = bitmap[anchor >> _U(70 - BITMAP_BITS)] >> (anchor >> _U(64 - BITMAP_BITS) & _U(63)) & _U(1) != 0
+                i, anchor, start, count = lo + i[known], anchor[known], start[known], count[known]
+                ends = (start + count + width - 1).tolist()
+                digest = b"".join([hashlib.blake2b(texts[j][s:e], digest_size=16).digest() for j, s, e in zip(i.tolist(), start.tolist(), ends, strict=True)])
+                digest = np.frombuffer(digest, np.int64).reshape(-1, 2)
                 yield pa.record_batch(
                     {
                         "anchor": pa.array(anchor.astype(np.int64)),
-                        "context": pa.array(context.astype(np.int64)),
-                        "doc": pa.array(doc[lo + i]),
-                        "mark": pa.array(mark[lo + i]),
+                        "context": pa.array(digest[:, 0]),
+                        "digest": pa.array(digest[:, 1]),
+                        "doc": pa.array(doc[i]),
+                        "mark": pa.array(mark[i]),
                         "start": pa.array(start.astype(np.int32)),
                         "count": pa.array(count.astype(np.int32)),
                     }
@@ -113,20 +131,32 @@ class Suffixes:
         lens = np.array([len(s) for s in strings], np.int64)
         self.base = np.cumsum(lens) - lens
         self.data = np.frombuffer(b"".join(strings), np.uint8)
-        self.sums = prefix_sums(self.data)
-        self.inverse = powers(len(self.data) + 1)[1]
+        self.sums, self.inverse = wrapping_sums(self.data), powers(len(self.data) + 1)[1]
+        self.residues, self.prime, self.root = prefix_residues(self.data)
+
+    def _extension(self, x: np.ndarray, y: np.ndarray, same) -> np.ndarray:
+        """Longest length, by binary search, at which same(length, rows) holds."""
+        n = np.zeros(len(x), np.int64)
+        step = 1 << (self.width.bit_length() - 1)
+        while step:
+            longer = n + step
+            inside = longer <= self.width
+            n = np.where(inside & same(np.where(inside, longer, 0)), longer, n)
+            step >>= 1
+        return n
+
+    def _prime(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (self.residues[x + n] + self.prime - self.residues[x]) * self.root[x] % self.prime
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        lo = np.zeros(len(x), np.int64)
-        hi = np.full(len(x), self.width, np.int64)
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                return lo
-            mid = (lo + hi + 1) >> 1
-            same = (self.sums[x + mid] - self.sums[x]) * self.inverse[x] == (self.sums[y + mid] - self.sums[y]) * self.inverse[y]
-            lo = np.where(open_ & same, mid, lo)
-            hi = np.where(open_ & ~same, mid - 1, hi)
+        sx, sy, bx, by = self.sums[x], self.sums[y], self.inverse[x], self.inverse[y]
+        n = self._extension(x, y, lambda m: (self.sums[x + m] - sx) * bx == (self.sums[y + m] - sy) * by)
+        # Strings that the fast modulus cannot tell apart differ in the prime one.
+        bad = np.flatnonzero(self._prime(x, n) != self._prime(y, n))
+        if len(bad):
+            u, v = x[bad], y[bad]
+            n[bad] = self._extension(u, v, lambda m: self._prime(u, m) == self._prime(v, m))
+        return n
 
     def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """x's suffix sorts before y's; equal ones do not."""
@@ -236,39 +266,31 @@ def _sort_bucket(width: int):
 
 
 def _cut(width: int, whole: bool):
-    """Contexts' bytes (whole) or each window's hash, of documents with their lists of places."""
+    """Bytes of contexts (whole) or of each of their windows, of documents with their lists of places."""
 
     def run(batches):
         for b in batches:
-            texts = utf8(b.column("text"))
-            out = {k: [] for k in ("anchor", "doc", "mark", "start", "count", "back")}
-            extra = []
-            for t, d, m, places in zip(texts, b.column("doc").to_pylist(), b.column("mark").to_pylist(), b.column("places").to_pylist(), strict=True):
-                if not whole:
-                    sums = prefix_sums(np.frombuffer(t, np.uint8))
+            out = {k: [] for k in ("anchor", "doc", "mark", "start", "count", "back", "bytes")}
+            for t, d, m, places in zip(utf8(b.column("text")), b.column("doc").to_pylist(), b.column("mark").to_pylist(), b.column("places").to_pylist(), strict=True):
                 for p in places:
                     s, c = p["start"], p["count"]
                     if whole:
                         part = t[s : s + c + width - 1]
-                        rows = [(s, c, _back(part, c, width))]
-                        extra.append(part)
+                        rows = [(s, c, _back(part, c, width), part)]
                     else:
-                        at = np.arange(s, s + c)
-                        rows = [(int(x), 1, 0) for x in at]
-                        extra.extend(span_hash(sums, at, at + width).astype(np.int64).tolist())
-                    for x, n, k in rows:
-                        for key, v in zip(out, (p["anchor"], d, m, x, n, k), strict=True):
+                        rows = [(x, 1, 0, t[x : x + width]) for x in range(s, s + c)]
+                    for row in rows:
+                        for key, v in zip(out, (p["anchor"], d, m, *row), strict=True):
                             out[key].append(v)
-            cols = {k: pa.array(v, pa.int64() if k in ("anchor", "doc", "mark") else pa.int32()) for k, v in out.items()}
-            cols |= {"bytes": pa.array(extra, pa.binary())} if whole else {"window": pa.array(extra, pa.int64())}
-            yield pa.record_batch(cols)
+            kinds = {"anchor": pa.int64(), "doc": pa.int64(), "mark": pa.int64(), "bytes": pa.binary()}
+            yield pa.record_batch({k: pa.array(v, kinds.get(k, pa.int32())) for k, v in out.items()})
 
     return run
 
 
 def _back(part: bytes, count: int, width: int) -> int:
     """Where the anchor stands in a context: the rightmost least gram of its first window."""
-    sums = prefix_sums(np.frombuffer(part[:width], np.uint8))
+    sums = wrapping_sums(np.frombuffer(part[:width], np.uint8))
     n = width - GRAM + 1
     h = mix((sums[GRAM:] - sums[:-GRAM]) * powers(width)[1][:n])
     return int(n - 1 - np.argmin(h[::-1]))
@@ -330,43 +352,52 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     counts = docs.where(long).select("text").mapInArrow(_anchor_counts(width), "anchor long, n long")
     often = scratch.write(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     scratch.release()
-    rows = named.where(long).select("doc", "mark", "text").mapInArrow(_anchor_rows(width), "anchor long, context long, doc long, mark long, start int, count int")
-    rows = scratch.write(keep_ids(rows, often, "anchor"))
+    rows = named.where(long).select("doc", "mark", "text").mapInArrow(_anchor_rows(width, _bitmap(often)), "anchor long, context long, digest long, doc long, mark long, start int, count int")
+    rows = scratch.write(rows.join(often, "anchor", "left_semi"))
     scratch.drop(often)
     scratch.release()
-    least = scratch.write(rows.groupBy("anchor", "context").agg(F.min(F.struct("doc", "start", "mark")).alias("least")))
-    kinds = scratch.write(least.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    rows_ = rows
-    rows = rows.join(least, ["anchor", "context"])
+    same = ["anchor", "context", "digest"]
+    least = scratch.write(rows.groupBy(*same).agg(F.min(F.struct("doc", "start", "mark", "count")).alias("least")))
+    # The other occurrences: later ones, and those at the same place of another row of a repeated doc_id.
     later = "doc > least.doc or doc = least.doc and start > least.start"
-    whole = rows.where(later).select("doc", "mark", F.col("start").alias("lo"), F.expr(f"start + count + {width - 1}").alias("hi"))
+    other = rows.join(least, same).where(f"{later} or mark <> least.mark").select("anchor", "doc", "mark", "start", "count", F.expr(later).alias("later"))
+    other = scratch.write(other)
+    scratch.drop(rows)
+    scratch.release()
+    whole = other.where("later").select("doc", "mark", F.col("start").alias("lo"), F.expr(f"start + count + {width - 1}").alias("hi"))
     # One occurrence of each context stands for all: what repeats in it repeats in the others too.
-    open_ = scratch.write(rows.where("doc = least.doc and start = least.start").drop("least", "context").join(kinds, "anchor"))
+    kinds = least.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    first = least.select("anchor", "least.doc", "least.mark", "least.start", "least.count")
+    open_ = scratch.write(first.unionByName(other.where("not later").drop("later")).join(kinds, "anchor"))
+    scratch.drop(least)
     place = F.struct("anchor", "start", "count")
+    cols = "anchor long, doc long, mark long, start int, count int, back int, bytes binary"
     found = [whole]
     for hot in (False, True):
         part = open_.where(F.col("kinds") > sort_contexts if hot else F.col("kinds") <= sort_contexts)
-        if hot and part.isEmpty():
+        if part.isEmpty():
             continue
         lists = part.groupBy("doc", "mark").agg(F.collect_list(place).alias("places"))  # of one document
         # Only texts of documents that have such contexts are moved.
         ids = scratch.write(part.select("doc").distinct())
-        cut = keep_ids(named.where(long), ids, "doc").join(lists, ["doc", "mark"]).select("doc", "mark", "text", "places")
+        cut = keep_ids(named.where(long), ids, "doc").join(lists, ["doc", "mark"]).select("doc", "mark", "text", "places").mapInArrow(_cut(width, not hot), cols)
         if not hot:
             parts = max(64, part.count() // BUCKET_CONTEXTS)
-            cols = "anchor long, doc long, mark long, start int, count int, back int, bytes binary"
-            cut = cut.mapInArrow(_cut(width, True), cols).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
+            cut = cut.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
             found.append(cut.groupBy("bucket").applyInArrow(_sort_bucket(width), "doc long, mark long, lo int, hi int"))
         else:
-            cut = scratch.write(cut.mapInArrow(_cut(width, False), "anchor long, doc long, mark long, start int, count int, back int, window long").select("window", "doc", "mark", "start"))
-            first = scratch.write(cut.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
-            found.append(cut.join(first, "window").where(later).select("doc", "mark", F.col("start").alias("lo"), F.expr(f"start + {width}").alias("hi")))
+            # The windows' hashes leave out what does not repeat; what is left is grouped by its bytes.
+            cut = cut.select(F.xxhash64("bytes").alias("hash"), "bytes", "doc", "mark", "start")
+            again = scratch.write(cut.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+            cut = scratch.write(cut.join(again, "hash", "left_semi").drop("hash"))
+            first = scratch.write(cut.groupBy("bytes").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+            found.append(cut.join(first, "bytes").where(later).select("doc", "mark", F.col("start").alias("lo"), F.expr(f"start + {width}").alias("hi")))
     ranges = found[0]
     for f in found[1:]:
         ranges = ranges.unionByName(f)
     ranges = scratch.write(ranges.groupBy("doc", "mark").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))  # of one document
     scratch.release()
-    scratch.drop(rows_, least, kinds, open_)
+    scratch.drop(other, open_)
     ids = scratch.write(ranges.select("doc").distinct())
     kind = "array<struct<start:int,end:int>>"
     cut = keep_ids(named, ids, "doc").join(ranges, ["doc", "mark"], "left").select("doc_id", "text", "lo", "hi")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from halogrid.llm.suffix_dedup import LAST, Suffixes, remove_repeats
+from halogrid.llm.suffix_dedup import LAST, Suffixes, remove_repeats, repeated
 
 
 def brute(rows, width):
@@ -73,3 +73,33 @@ def test_suffix_order():
         part = [data[at[i] : at[i] + 40] for i in order[g * 84 : g * 84 + 84]]
         assert part == sorted(part)
         assert sorted(order[g * 84 : g * 84 + 84]) == list(range(g * 84, g * 84 + 84))
+
+
+def test_words_that_defeat_the_fast_hash():
+    """Two words of 1024 letters, swaps of each other, agree modulo 2**64: the prime tells them apart, and so their order is right."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    one, two = word.encode(), word.translate(str.maketrans("ab", "ba")).encode()
+    s = Suffixes([b"x" + one, b"x" + two], 1024)
+    assert s.common(np.array([0, 1]), np.array([1025, 1026])).tolist() == [1, 0]
+
+
+def test_hash_collisions_are_not_repeats(monkeypatch):
+    """If every comparison said that windows are equal, the bytes would still tell the different ones apart."""
+    r = random.Random(3)
+    parts = [bytes(r.choice(b"abc") for _ in range(60)) for _ in range(4)]
+    contexts = [*parts, parts[2]]
+    monkeypatch.setattr(Suffixes, "common", lambda self, x, y: np.full(len(x), self.width))
+    five = np.arange(5)
+    flags = repeated(contexts, np.zeros(5, np.int64), np.full(5, 20), np.full(5, 21), five, np.zeros(5, np.int64), 40)
+    assert flags.reshape(5, 21)[:4].sum() == 0
+
+
+@pytest.mark.parametrize("bits", [8, 27])
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr("halogrid.llm.suffix_dedup.BITMAP_BITS", bits)
+    rows = make(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x)[:5] for x in remove_repeats(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute(rows, 100)))
