@@ -21,6 +21,8 @@ GRAMS = (3, 4, 5)
 BUCKETS = 1 << 16
 #: Neutral words that every average holds besides the text's own: few words alone prove little.
 NEUTRAL = 50
+#: Parts of the labelled texts that are held back in turn to set the bias.
+FOLDS = 3
 #: Labelled texts that training may see, of each class: the first by hash of doc_id.
 SAMPLE = {0: 2700, 1: 900}
 
@@ -176,21 +178,20 @@ def _score(model: Model):
 def toxicity_model(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
     """Train on rows of labels (doc_id, toxic) whose crc32(doc_id) mod 5 is not 0; at most `sample` texts of each class reach the driver."""
     texts, label = labelled_sample(docs, labels, "toxic", sample, 5, 0)
-    if min(np.bincount(label, minlength=2)) < 10:
+    if len(set(label.tolist())) < 2:  # nothing to tell apart
         return train(texts, label)
-    # Texts that a model has not seen set the bias: a fifth of them, or each fifth in turn where texts are few.
-    fold = np.arange(len(texts)) % 5
+    # Texts that a model has not seen set the bias: each of FOLDS parts of either class in turn.
+    fold = np.empty(len(texts), np.int64)
+    for value in (0, 1):
+        fold[label == value] = np.arange((label == value).sum()) % FOLDS
     z = np.zeros(len(texts))
-    few = len(texts) < 1000
-    for f in range(5 if few else 1):
-        model = train([t for t, c in zip(texts, fold, strict=True) if c != f], label[fold != f])
-        z[fold == f] = model.logit([t for t, c in zip(texts, fold, strict=True) if c == f])
-    seen = np.ones(len(texts), bool) if few else fold == 0
-    if few:
-        model = train(texts, label)
+    for f in range(FOLDS):
+        part = train([t for t, c in zip(texts, fold, strict=True) if c != f], label[fold != f])
+        z[fold == f] = part.logit([t for t, c in zip(texts, fold, strict=True) if c == f])
+    model = train(texts, label)
     share = labels.where("crc32(cast(doc_id as string)) % 5 <> 0").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     odds = (1 - share) / share * (label == 1).sum() / (label == 0).sum()
-    model.bias -= best_cut(z[seen], label[seen], odds)
+    model.bias -= best_cut(z, label, odds)
     return model
 
 
