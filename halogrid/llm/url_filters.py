@@ -3,7 +3,8 @@
 A list is a log of dated entries: on a day, a key (a host or a domain) is added to or removed from a list.  Per list and
 key the entries become half-open intervals in which it is active.  A capture asks for its host and every parent domain
 at its fetch time.  Captures are first reduced to the different (host, day) pairs, so that a host with a third of all
-captures is as many rows as it has days; the way back to the captures is an equi-join on salted pairs.
+captures is as many rows as it has days; the way back to the captures is an equi-join, whose hot pairs adaptive
+execution splits.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-SALTS = 32
 #: Day 0 of the made list log and fetch days.
 EPOCH = "2024-01-01"
 
@@ -56,9 +56,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, scratch: Scratch) -> DataF
         F.max(F.struct(F.length("key").alias("n"), "key"))["key"].alias("matched_key"),
     )
     found = scratch.write(found)
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    c = c.withColumn("salt", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)).cast("int"))
-    out = c.join(salted, ["host", "fetch_date", "salt"], "left")
+    out = c.join(found, ["host", "fetch_date"], "left")
     return out.select(
         "capture_id", "host", "fetch_date",
         F.when(F.col("names").isNull(), F.lit(0)).otherwise(F.size("names")).cast("long").alias("n_lists"),
