@@ -19,8 +19,9 @@ from .common import Scratch, chunks, keep_ids, mix, session, shingles, table, ut
 
 BITS, BLOCKS = 128, 16
 #: Bits that the fingerprints of texts with weighted similarity 0.8 may differ in.  Their shingle vectors meet at an
-#: angle of at most 27.3 degrees, so 19.4 of 128 bits differ on average with a deviation of 4.1; 48 is seven deviations.
-RADIUS = 48
+#: angle of at most 27.3 degrees, so 19.4 of 128 bits differ on average with a deviation of 4.1; 40 is five deviations.
+#: Two unrelated fingerprints differ in 64 bits with a deviation of 5.7, so the radius leaves out all but one in 100,000.
+RADIUS = 40
 #: Items that one pass over the documents carries; more items take more passes.
 PORTION = 20_000
 
