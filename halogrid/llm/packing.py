@@ -230,11 +230,16 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, least: int, limit: int) -> list[tuple[int, ...]]:
+#: Search parameters of the packing: nodes of the tree, fillings of a node, and steps in search of each of them.
+NODES, BRANCH, STEPS = 20_000, 12, 40
+
+
+def fillings(sizes: list[int], counts: dict[int, int], room: int, least: int, limit: int, steps_each: int = STEPS) -> list[tuple[int, ...]]:
     """Undominated sets of sizes (ascending list) whose sum is from least to room, least waste first.
 
-    A set is dominated if one of its sizes, or two together, can be exchanged for a larger single size that still
-    fits; sets are built from the largest size down and dropped at the first such exchange.
+    A set is dominated if one of its sizes can be exchanged for a larger one that still fits, or two together for a
+    single one as large or larger; sets are built from the largest size down and dropped at the first such exchange.
+    The search ends after `limit` sets or steps_each * limit steps, so better sets may be missed.
     """
     out: list[tuple[int, tuple[int, ...]]] = []
     steps = 0
@@ -251,7 +256,7 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, least: int, li
             return
         for j in range(i - 1, -1, -1):
             s = sizes[j]
-            if len(out) >= limit or steps > 40 * limit:
+            if len(out) >= limit or steps > steps_each * limit:
                 return
             # Waste bound: nothing below can fill up to least if even the largest left cannot.
             more = left - s
@@ -261,27 +266,34 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, least: int, li
             if more == 0:
                 break  # an exact single end dominates all smaller ones here
 
-    def dominated(chosen: tuple[int, ...], waste: int) -> bool:
-        for x in set(chosen):
-            k = bisect_right(sizes, x + waste)
-            while k and sizes[k - 1] > x:
-                y = sizes[k - 1]
-                if chosen.count(y) < counts[y]:
-                    return True
-                k -= 1
+    def exchanged(chosen: tuple[int, ...], low: int, high: int) -> bool:
+        k = bisect_right(sizes, high)
+        while k and sizes[k - 1] >= low:
+            if chosen.count(sizes[k - 1]) < counts[sizes[k - 1]]:
+                return True
+            k -= 1
         return False
 
+    def dominated(chosen: tuple[int, ...], waste: int) -> bool:
+        alone = sorted(set(chosen))
+        if any(exchanged(chosen, x + 1, x + waste) for x in alone):
+            return True
+        two = {x + y for i, x in enumerate(alone) for y in alone[i + 1 :]} | {2 * x for x in alone if chosen.count(x) > 1}
+        return any(exchanged(chosen, x, x + waste) for x in two)
+
     go(room, room, (), 0)
     out.sort(key=lambda x: (x[0], len(x[1]), [-s for s in x[1]]))
     return [c for _, c in out]
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000, branch: int = 12) -> list[tuple[tuple[int, ...], int]]:
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, branch: int = BRANCH) -> list[tuple[tuple[int, ...], int]]:
     """Branch and bound over completions of the largest size left, on a histogram {size: count}: (filling, times).
 
     The incumbent starts as best-fit decreasing and is replaced by every better complete solution; a branch ends where
     its bins and the bound on the rest (their sum, with the waste so far) cannot beat the incumbent.  The search stops
-    at the lower bound, at the end of the tree or after `nodes` nodes.
+    at the lower bound, at the end of the tree or after `nodes` nodes.  The tree is not whole: a node has at most
+    `branch` fillings, and each is used as often as the counts allow.  A plan of as many bins as lower_bound() is
+    the best there is; of any other one this is not known.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
