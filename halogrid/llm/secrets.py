@@ -121,9 +121,9 @@ def secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of text replaced by mark (overlapping spans by one); n_chars follows where text changed.
 
-    All columns and rows stay; texts without spans, null and empty ones are not touched.
+    All columns, whatever their names, and all rows stay; texts without spans, null and empty ones are not touched.
     """
-    df = scan(docs)
+    df = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text")))
     runs = """aggregate(_spans, cast(array() as array<struct<s:int,e:int>>), (acc, x) ->
       if(size(acc) > 0 and element_at(acc, -1).e >= x.s,
         concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e)))),
@@ -132,9 +132,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     new = f"""concat(array_join(transform(_runs, (x, i) -> concat(substr(text, if(i = 0, 0, _runs[i - 1].e) + 1, x.s - if(i = 0, 0, _runs[i - 1].e)), '{mark}')), ''),
       substr(text, element_at(_runs, -1).e + 1))"""
     df = df.withColumn("text", F.expr(f"if(size(_runs) = 0, text, {new})"))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("_runs") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return df.select(*docs.columns)
+    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.size("_runs") == 0, out["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return df.select(*[v.alias(c) for c, v in out.items()])
 
 
 def op1_secret_scans(spark, sf_dir):
