@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halogrid.llm.common import table
+from halogrid.llm.common import Scratch, table
 from halogrid.llm.decontaminate import drop_leaks
 from halogrid.llm.near_dup import drop_near_duplicates
 from halogrid.llm.packing import pack_documents
@@ -45,12 +45,13 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Hash-based search, a trained model and a tokenizer are not SQL; tests/llm checks ids, columns and lengths, not the rows.
+#: Hash-based search, a trained model and a tokenizer are not SQL; tests/llm/test_pipeline.py composes brute-force stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on documents; what each but the last keeps is written to the shared folder once, as the next one reads it several times."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
