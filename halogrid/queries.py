@@ -376,8 +376,8 @@ _D2 = """dd AS (SELECT a.id AS i, b.id AS j, a.n AS an, b.n AS bn, abs(a.x - b.x
 d3 AS (SELECT i, j, an, bn, least(ux, 1000.0::DOUBLE - ux) AS px, least(uy, 1000.0::DOUBLE - uy) AS py, least(uz, 1000.0::DOUBLE - uz) AS pz FROM dd)"""
 
 
-# The queries take all halos; the SQL below still thins them to s, so the two differ (tests/test_pairs.py has all pairs).
-_SOME = "s AS (SELECT * FROM halos WHERE n % 4 = 0 OR n > 4500)"
+# All pairs of halos, and every bin; tests/test_pairs.py has them in numpy.
+_SOME = "s AS (SELECT * FROM halos)"
 
 
 @query(f"WITH {_SOME}, {_D2} SELECT s.id, coalesce(sum(bn) FILTER (px * px + py * py + pz * pz <= 6400 AND px * px + py * py + pz * pz > 900 AND an > 1000), 0)::BIGINT AS menv FROM s LEFT JOIN d3 ON s.id = d3.i GROUP BY s.id", "h")
@@ -393,13 +393,17 @@ _RP2 = "px * px + py * py"
 _RPBIN = "CASE " + " ".join(f"WHEN {_RP2} >= {a * a}::DOUBLE AND {_RP2} < {b * b}::DOUBLE THEN {i}" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " END"
 
 
-@query(f"WITH {_SOME}, {_D2} SELECT {_SBIN} AS bin, count(*)::BIGINT AS npairs FROM d3 WHERE i <> j AND ({_SBIN}) IS NOT NULL GROUP BY 1", "h")
+def _every(rest: str, where: str) -> str:
+    return f"WITH {_SOME}, {_D2}, c AS (SELECT {_SBIN} AS bin, count(*)::BIGINT AS npairs FROM d3 WHERE {where} AND ({_SBIN}) IS NOT NULL GROUP BY 1), b AS (SELECT unnest(range({len(_EDGES) - 1}))::INT AS bin), e AS (SELECT bin, coalesce(npairs, 0)::BIGINT AS npairs FROM b LEFT JOIN c USING (bin)) {rest}"
+
+
+@query(_every("SELECT * FROM e", "i <> j"), "h")
 def pair_counts_s(spark, d):
     s = halos(spark, d)
     return neighbors.pair_counts(s, s, _EDGES, BOX, True)
 
 
-_XI = f"WITH {_SOME}, {_D2}, c AS (SELECT {_RPBIN} AS rp_bin, (floor(pz)::INT // 5)::INT AS pi_bin, count(*)::BIGINT AS npairs FROM d3 WHERE i <> j AND ({_RPBIN}) IS NOT NULL AND pz < 40 GROUP BY 1, 2), k AS (SELECT count(*)::DOUBLE AS n FROM s), v AS (SELECT rp_bin, pi_bin, npairs, npairs / (n * n * CASE " + " ".join(f"WHEN rp_bin = {i} THEN {3.141592653589793 * (b * b - a * a) * 5 / 1e9 * 2!r}::DOUBLE" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " END) - 1 AS xi FROM c, k)"
+_XI = f"WITH {_SOME}, {_D2}, c AS (SELECT {_RPBIN} AS rp_bin, (floor(pz)::INT // 5)::INT AS pi_bin, count(*)::BIGINT AS npairs FROM d3 WHERE i <> j AND ({_RPBIN}) IS NOT NULL AND pz < 40 GROUP BY 1, 2), k AS (SELECT count(*)::DOUBLE AS n FROM s), g AS (SELECT a.i::INT AS rp_bin, b.i::INT AS pi_bin, coalesce(npairs, 0)::BIGINT AS npairs FROM range({len(_EDGES) - 1}) a(i), range(8) b(i) LEFT JOIN c ON c.rp_bin = a.i AND c.pi_bin = b.i), v AS (SELECT rp_bin, pi_bin, npairs, npairs / (n * n * CASE " + " ".join(f"WHEN rp_bin = {i} THEN {3.141592653589793 * (b * b - a * a) * 5 / 1e9 * 2!r}::DOUBLE" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " END) - 1 AS xi FROM g, k)"
 
 
 @query(_XI + " SELECT rp_bin, pi_bin, npairs, round(xi, 6) AS xi FROM v", "h")
@@ -414,7 +418,7 @@ def wp_rp(spark, d):
     return neighbors.projected(neighbors.xi_rp_pi(s, s, _EDGES, 40, 5, BOX), 5).withColumn("wp", F.round("wp", 4))
 
 
-_SMU = f"WITH {_SOME}, {_D2}, c AS (SELECT {_SBIN} AS s_bin, least(floor(pz / sqrt({_R2}) * 10)::INT, 9) AS mu_bin, count(*)::BIGINT AS npairs FROM d3 WHERE i <> j AND ({_SBIN}) IS NOT NULL GROUP BY 1, 2), k AS (SELECT count(*)::DOUBLE AS n FROM s), v AS (SELECT s_bin, mu_bin, npairs / (n * n * CASE " + " ".join(f"WHEN s_bin = {i} THEN {4 / 3 * 3.141592653589793 * (b**3 - a**3) / 10 / 1e9!r}::DOUBLE" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " END) - 1 AS xi FROM c, k)"
+_SMU = f"WITH {_SOME}, {_D2}, c AS (SELECT {_SBIN} AS s_bin, least(floor(pz / sqrt({_R2}) * 10)::INT, 9) AS mu_bin, count(*)::BIGINT AS npairs FROM d3 WHERE i <> j AND ({_SBIN}) IS NOT NULL GROUP BY 1, 2), k AS (SELECT count(*)::DOUBLE AS n FROM s), g AS (SELECT a.i::INT AS s_bin, b.i::INT AS mu_bin, coalesce(npairs, 0)::BIGINT AS npairs FROM range({len(_EDGES) - 1}) a(i), range(10) b(i) LEFT JOIN c ON c.s_bin = a.i AND c.mu_bin = b.i), v AS (SELECT s_bin, mu_bin, npairs / (n * n * CASE " + " ".join(f"WHEN s_bin = {i} THEN {4 / 3 * 3.141592653589793 * (b**3 - a**3) / 10 / 1e9!r}::DOUBLE" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " END) - 1 AS xi FROM g, k)"
 
 
 @query(_SMU + " SELECT s_bin, round(sum(xi * 0.1::DOUBLE), 5) AS xi_0, round(sum(5 * 0.1::DOUBLE * xi * (1.5::DOUBLE * ((mu_bin + 0.5::DOUBLE) / 10) * ((mu_bin + 0.5::DOUBLE) / 10) - 0.5::DOUBLE)), 5) AS xi_2 FROM v GROUP BY s_bin", "h")
@@ -425,10 +429,16 @@ def xi_multipoles(spark, d):
     return both.select("s_bin", F.round("xi_0", 5).alias("xi_0"), F.round("xi_2", 5).alias("xi_2"))
 
 
-@query(f"WITH {_SOME}, {_D2} SELECT {_SBIN} AS bin, count(*)::BIGINT AS npairs FROM d3 WHERE i % 2 = 0 AND j % 2 = 1 AND ({_SBIN}) IS NOT NULL GROUP BY 1", "h")
+@query(_every("SELECT t1, t2, bin, npairs FROM e, (VALUES ('even', 'odd'), ('odd', 'even')) t(t1, t2)", "i % 2 = 0 AND j % 2 = 1"), "h")
 def xi_cross_tracer(spark, d):
     s = halos(spark, d)
-    return neighbors.pair_counts(s.where("id % 2 = 0"), s.where("id % 2 = 1"), _EDGES, BOX, False)
+    both = neighbors.tracer_pairs({"even": s.where("id % 2 = 0"), "odd": s.where("id % 2 = 1")}, lambda a, b, auto: neighbors.pair_counts(a, b, _EDGES, BOX, auto))
+    return both.where("t1 <> t2")
+
+
+@query(_every(f"SELECT bin, npairs, round(npairs / ((SELECT count(*) * (count(*) - 1) FROM s) * CASE " + " ".join(f"WHEN bin = {i} THEN {4 / 3 * 3.141592653589793 * (b**3 - a**3) / 1e9!r}::DOUBLE" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " END) - 1, 6) AS xi FROM e", "i <> j"), "h")
+def emulator_xi(spark, d):
+    return neighbors.emulator_xi(halos(spark, d), _EDGES, BOX).withColumn("xi", F.round("xi", 6))
 
 
 # --- meshes ---
