@@ -179,3 +179,65 @@ def mean_number(hist: DataFrame, name: str, t: Tracer, logm: Column) -> DataFram
     if name == "ELG" and "ELG" in t.beside:
         sat = sat * (F.lit(1.0) - cen) + mean_satellite(name, t, m, "ELG") * cen
     return hist.agg(F.sum(F.col("weight") * cen * t.ic).alias("n_cent"), F.sum(F.col("weight") * sat * t.ic).alias("n_sat"))
+
+
+def evolved(t: Tracer, z: float, z_pivot: float, slopes: dict[str, float]) -> Tracer:
+    """The tracer at a redshift: each named parameter (logm_cut, logm1) moves by its slope times 1 / (1 + z) - 1 / (1 + z_pivot)."""
+    from dataclasses import replace
+
+    step = 1 / (1 + z) - 1 / (1 + z_pivot)
+    return replace(t, **{name: getattr(t, name) + slope * step for name, slope in slopes.items()})
+
+
+def satellite_velocity(df: DataFrame, alpha: float, halo: tuple[str, str, str] = ("hvx", "hvy", "hvz")) -> DataFrame:
+    """Satellites: the halo's velocity and alpha times the particle's relative to it."""
+    return df.withColumns({f"v{a}": F.col(h) + F.lit(alpha) * (F.col(f"v{a}") - F.col(h)) for a, h in zip("xyz", halo, strict=True)})
+
+
+def stage(halos: DataFrame, particles: DataFrame, downsample: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Staged tables: halos with conc = r98 / r25 and multi, particles (halo_id) with the halo's columns and weight 1 / np / downsample.
+
+    np is the halo's number of particles kept; particles of halos that are not there drop out.
+    """
+    h = halos.withColumn("conc", F.try_divide("r98", "r25"))
+    h = h if "multi" in h.columns else h.withColumn("multi", F.lit(1.0))
+    n = particles.groupBy("halo_id").agg(F.count("*").alias("np"))
+    of = h.select(F.col("id").alias("halo_id"), *[F.col(c) for c in ("mass", "conc", "multi", "deltac", "fenv", "shear") if c in h.columns])
+    p = particles.drop("mass", "weight").join(of, "halo_id").join(n, "halo_id")
+    return h, p.withColumn("weight", F.lit(1.0) / F.col("np") / F.lit(downsample))
+
+
+def stored_draws(halos: DataFrame, sigma: Column, seed: int) -> DataFrame:
+    """halos with u and, for each axis, a two-sided exponential and a normal deviation of width sigma / sqrt(3), the same for any parameters."""
+    scale = sigma / F.lit(3.0**0.5)
+    out = {"u": uniform(F.col("id"), seed)}
+    for i, a in enumerate("xyz"):
+        v = uniform(F.col("id"), seed + 1 + i) - 0.5
+        out[f"exp_{a}"] = -scale * F.signum(v) * F.log(F.lit(1.0) - 2.0 * F.abs(v))
+        out[f"gauss_{a}"] = scale * normal(F.col("id"), seed + 10 + i)
+    return halos.withColumns(out)
+
+
+def in_range(parameters: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """parameters with `inside`: every bounded parameter is strictly between its bounds."""
+    ok = F.lit(True)
+    for name, (lo, hi) in bounds.items():
+        ok = ok & (F.col(name) > lo) & (F.col(name) < hi)
+    return parameters.withColumn("inside", F.coalesce(ok, F.lit(False)))
+
+
+def log_likelihood(data: DataFrame, theory: DataFrame, inverse: DataFrame) -> DataFrame:
+    """lnl: -1/2 of the residuals times the inverse covariance, summed over tracer pairs.
+
+    data and theory: pair, i, value; inverse: pair, i, j, value.
+    """
+    r = data.select("pair", "i", F.col("value").alias("a")).join(theory.select("pair", "i", F.col("value").alias("b")), ["pair", "i"]).select("pair", "i", (F.col("b") - F.col("a")).alias("r"))
+    s = r.select("pair", F.col("i").alias("j"), F.col("r").alias("s"))
+    return r.join(inverse, ["pair", "i"]).join(s, ["pair", "j"]).agg((F.lit(-0.5) * F.sum(F.col("r") * F.col("value") * F.col("s"))).alias("lnl"))
+
+
+def log_probability(parameters: dict[str, float], bounds: dict[str, tuple[float, float]], statistic, data: DataFrame, inverse: DataFrame) -> float:
+    """-inf outside the bounds; else the likelihood of statistic(parameters), a theory table, against the data."""
+    if not all(lo < parameters[n] < hi for n, (lo, hi) in bounds.items()):
+        return float("-inf")
+    return log_likelihood(data, statistic(parameters), inverse).first()[0]

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .mesh import deposit, overdensity
 
 
-def dense(cells: DataFrame, n: int, value: str, fill: float) -> np.ndarray:
+def dense(cells: DataFrame, n: int, value: str, fill: float, dtype=np.float64) -> np.ndarray:
     """The mesh of a cell table: at most n**3 cells, a size that the caller has chosen, in Arrow batches."""
-    out = np.full((n, n, n), fill, np.float32)
+    out = np.full((n, n, n), fill, dtype)
     t = cells.select("ix", "iy", "iz", value).toArrow()
     out[t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy()] = t.column(3).to_numpy()
     return out
@@ -92,33 +92,58 @@ def power_spectrum(points: DataFrame, box: float, n: int, n_k: int, n_mu: int =
     for i in range(n_k):
         for j in range(n_mu):
             extra = [float(r["poles"][p, i]) for p in range(len(poles))]
-            rows.append((i, j, float(k[i] + k[i + 1]) / 2, float(r["k_avg"][i, j]), float(r["power"][i, j]), int(r["n_modes"][i, j]), *extra))
+            row = (float(k[i] + k[i + 1]) / 2, float(r["k_avg"][i, j]), float(r["power"][i, j]), int(r["n_modes"][i, j]), *extra)
+            rows.append((i, j, *(None if x != x else x for x in row)))  # a bin without modes has no mean
     schema = "k_bin int, mu_bin int, k_mid double, k_avg double, power double, n_modes long" + "".join(f", pole_{p} double" for p in poles)
     return points.sparkSession.createDataFrame(rows, schema)
 
 
 def xi_from_power(power: np.ndarray, n: int, box: float, edges: np.ndarray, poles: tuple[int, ...] = (0, 2)) -> dict[str, np.ndarray]:
     """Correlation function in bins of separation from a half mesh of power."""
-    xi = np.fft.irfftn(power, s=(n, n, n)) * n**3 / box**3
+    xi = np.fft.irfftn(power, s=(n, n, n), axes=(0, 1, 2)) * n**3 / box**3
     half = xi[:, :, : n // 2 + 1]
     return bin_modes(half, n, box, edges, np.array([0.0, 1.0]), poles, fourier=False)
 
 
-def tidal_shear(points: DataFrame, n: int, box: float, radius: float, cell_columns: bool = True) -> np.ndarray:
-    """Square root of the shear invariant of the smoothed tidal field on the mesh."""
-    f = field_fft(points, n, box, "tsc", False)
-    k = np.fft.fftfreq(n, 1 / n) * 2 * np.pi / box
-    kz = np.arange(n // 2 + 1) * 2 * np.pi / box
-    kk = np.meshgrid(k, k, kz, indexing="ij")
-    k2 = sum(x**2 for x in kk)
-    f = f * np.exp(-k2 * radius**2 / 2)
-    k2[0, 0, 0] = 1
-    t = {}
-    for i in range(3):
-        for j in range(i, 3):
-            t[i, j] = np.fft.irfftn(f * kk[i] * kk[j] / k2, s=(n, n, n)) * n**3
-    trace = (t[0, 0] - t[1, 1]) ** 2 + (t[1, 1] - t[2, 2]) ** 2 + (t[2, 2] - t[0, 0]) ** 2
-    return np.sqrt(np.maximum(0.5 * trace + 3 * (t[0, 1] ** 2 + t[0, 2] ** 2 + t[1, 2] ** 2), 0))
+def smooth_density(field: np.ndarray, radius: float, box: float) -> np.ndarray:
+    """Gaussian filter in real space, axis by axis, cut at four deviations; the mesh is mirrored at its faces, not periodic."""
+    n = len(field)
+    sigma = radius * n / box
+    reach = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    at = (np.arange(n)[:, None] + np.arange(-reach, reach + 1)[None, :]) % (2 * n)
+    mirror = np.zeros((n, n))
+    np.add.at(mirror, (np.repeat(np.arange(n), len(w)), np.minimum(at, 2 * n - 1 - at).ravel()), np.tile(w / w.sum(), n))
+    return np.einsum("ai,bj,ck,ijk->abc", mirror, mirror, mirror, field, optimize=True)
+
+
+def tidal_field(fk: np.ndarray, box: float, radius: float | None = None) -> dict[tuple[int, int], np.ndarray]:
+    """k_i k_j / k**2 of a field's half mesh, with a top-hat window of k**2 radius if given; modes with a zero component are left out."""
+    n = len(fk)
+    step = 2 * np.pi / box
+    m = np.fft.fftfreq(n, 1 / n) * step
+    k = (m[:, None, None], m[None, :, None], (np.arange(n // 2 + 1) * step)[None, None, :])
+    k2 = k[0] ** 2 + k[1] ** 2 + k[2] ** 2
+    inside = (k[0] * k[1] * k[2]) != 0
+    x = np.where(inside, fk, 0) / np.where(k2 > 0, k2, 1)
+    if radius is not None:
+        y = k2 * radius
+        x = x * np.where(y > 0, 3 * (np.sin(y) - y * np.cos(y)) / np.where(y > 0, y, 1) ** 3, 1.0)
+    return {(i, j): x * k[i] * k[j] for i in range(3) for j in range(i, 3)}
+
+
+def shear(tidal: dict[tuple[int, int], np.ndarray], n: int) -> np.ndarray:
+    """Root of half the sum of the squared differences of the tensor's eigenvalues, in each cell: 3 tr(T**2) - (tr T)**2, without eigenvalues."""
+    t = {key: np.fft.irfftn(x, s=(n, n, n), axes=(0, 1, 2)) for key, x in tidal.items()}
+    apart = (t[0, 0] - t[1, 1]) ** 2 + (t[1, 1] - t[2, 2]) ** 2 + (t[2, 2] - t[0, 0]) ** 2
+    return np.sqrt(np.maximum(0.5 * apart + 3 * (t[0, 1] ** 2 + t[0, 2] ** 2 + t[1, 2] ** 2), 0))
+
+
+def tidal_shear(points: DataFrame, n: int, box: float, radius: float) -> np.ndarray:
+    """Shear of the smoothed tidal field of points on the mesh."""
+    cells = overdensity(deposit(points, n, box, "tsc"), n**3)
+    field = smooth_density(dense(cells, n, "delta", -1.0), radius, box)
+    return shear(tidal_field(np.fft.rfftn(field), box), n)
 
 
 def cells_frame(spark: SparkSession, mesh: np.ndarray, name: str) -> DataFrame:

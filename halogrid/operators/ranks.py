@@ -106,3 +106,78 @@ def group_rank(df: DataFrame, group: str, value: str, key: list[str], out: str)
 
 def top_n(df: DataFrame, value: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.col(value).desc(), key).limit(n)
+
+
+def perihelion(v_tan2: Column, v_rad2: Column, r0: Column, rs: Column, alpha: Column, steps: int = 20) -> Column:
+    """Squared ratio of the perihelion to the radius of an orbit in an NFW profile, by fixed-point steps; 1 where it is undefined.
+
+    alpha is the squared velocity scale of the profile at the radius; velocities are squared, r0 and rs of one unit.
+    """
+    # A one-element array binds the terms that every step uses.
+    start = F.try_divide(v_tan2, v_tan2 + v_rad2)
+    terms = F.array(F.struct(v_tan2.alias("t"), (v_tan2 + v_rad2).alias("a"), F.try_divide(r0, rs).alias("x"), alpha.alias("s")))
+
+    def solve(c):
+        def step(x2, _):
+            old = F.sqrt(x2)
+            return F.try_divide(c["t"], c["a"] + c["s"] * (F.try_divide(F.log1p(old * c["x"]), old) - F.log1p(c["x"])))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+
+    x = F.transform(terms, solve)[0]
+    return F.coalesce(F.nanvl(x, F.lit(1.0)), F.lit(1.0))
+
+
+def particle_ranks(particles: DataFrame, key: list[str], selected: str = "selected") -> DataFrame:
+    """Ranks from -1 to 1 among the selected particles of a halo: ranks (distance), ranksv (speed), ranksr (radial velocity), ranksp (perihelion), ranksc (distance to the next particle).
+
+    particles: halo_id, key columns, selected, x, y, z and vx, vy, vz relative to the halo, m (mass in the unit of alpha: 2 G m
+    / r in squared velocities), r25, r98 and nn2 (squared distance to the next particle of the halo, selected or not).
+    A lone selected particle has 0, the others -1; ties go by the key.
+    """
+    d2, v2 = F.expr("x * x + y * y + z * z"), F.expr("vx * vx + vy * vy + vz * vz")
+    p = particles.withColumn("_d2", d2).withColumn("_v2", v2)
+    r0 = F.sqrt("_d2")
+    p = p.withColumn("_vr", F.try_divide(F.expr("vx * x + vy * y + vz * z"), r0))
+    c = F.col("r98") / F.col("r25")
+    alpha = F.try_divide(F.col("m"), (F.log1p(c) - c / (c + 1)) * r0)
+    vr2 = F.coalesce(F.col("_vr") * F.col("_vr"), F.lit(0.0))
+    p = p.withColumn("_p2", F.col("_d2") * perihelion(F.col("_v2") - vr2, vr2, r0, F.col("r25"), alpha))
+    n = F.count("*").over(W.partitionBy("halo_id", selected))
+    out = {}
+    for name, value in (("ranks", "_d2"), ("ranksv", "_v2"), ("ranksr", "_vr"), ("ranksp", "_p2"), ("ranksc", "nn2")):
+        place = F.row_number().over(W.partitionBy("halo_id", selected).orderBy(value, *key)) - 1
+        out[name] = F.when(~F.col(selected), F.lit(-1.0)).when(n > 1, 2.0 * place / (n - 1) - 1.0).otherwise(F.lit(0.0))
+    return p.withColumns(out).drop("_d2", "_v2", "_vr", "_p2")
+
+
+def matched(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """left with the columns of right's row of the same key; a row without one is an error when it is read, not a null."""
+    there = right.withColumn("_there", F.lit(True))
+    out = left.join(there, key, "left")
+    missing = F.assert_true(F.coalesce("_there", F.lit(False)), F.lit("a row has no match"))
+    return out.where(missing.isNull()).drop("_there")
+
+
+def duplicated(df: DataFrame, key: str) -> DataFrame:
+    """Keys that more than one row has, with the number of rows."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def keep_first(frames: list[DataFrame], key: str) -> DataFrame:
+    """Union by name in which a key's row comes from the first frame that has it."""
+    out = None
+    for i, f in enumerate(frames):
+        f = f.withColumn("_from", F.lit(i))
+        out = f if out is None else out.unionByName(f)
+    cols = [c for c in out.columns if c not in (key, "_from")]
+    best = out.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct("_from", *cols)).alias("_r"))
+    return best.select(key, "_r.*")
+
+
+def counts_from_starts(df: DataFrame, start: str, order: list[str], total: int | Column, out: str) -> DataFrame:
+    """Number of entries of each row: the next row's start less its own, the last one's from the total."""
+    following = ordered_index(df.select(*order, start), order, out="_i")
+    nxt = following.select((F.col("_i") - 1).alias("_i"), F.col(start).alias("_next"))
+    rows = following.join(nxt, "_i", "left").withColumn(out, F.coalesce("_next", total if isinstance(total, Column) else F.lit(total)) - F.col(start))
+    return df.join(rows.select(*order, out), order)

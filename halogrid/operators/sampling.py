@@ -52,3 +52,27 @@ def random_shell(spark, n: int, r_min: float, r_max: float, seed: int, octant: b
 def in_box(lo: float, hi: float) -> Column:
     """lo < coordinate <= hi on three axes."""
     return F.expr(" and ".join(f"{a} > {lo} and {a} <= {hi}" for a in "xyz"))
+
+
+def any_box(boxes: list[tuple[float, float]], offsets: list[tuple[float, float, float]]) -> Column:
+    """Inside at least one of several boxes: (lo, hi), and where its origin lies."""
+    out = F.lit(False)
+    for (lo, hi), o in zip(boxes, offsets, strict=True):
+        one = F.lit(True)
+        for a, s in zip("xyz", o, strict=True):
+            one = one & (F.col(a) - F.lit(s) > lo) & (F.col(a) - F.lit(s) <= hi)
+        out = out | one
+    return out
+
+
+def cube_vertices(origin: tuple[float, float, float], units: float) -> list[tuple[float, float, float]]:
+    """The eight corners of a cube with this lowest corner."""
+    return [tuple(o + units * (i >> k & 1) for k, o in enumerate(origin)) for i in range(8)]
+
+
+def thin(frames: list[DataFrame], key: str, parts: int, seed: int) -> DataFrame:
+    """Union of particle tables, of which every parts-th row stays, by a hash of the key."""
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out.where(uniform(F.col(key), seed) < F.lit(1.0 / parts))

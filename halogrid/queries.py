@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import decode
 from .functions import math as fm
 from .operators import hod, mesh, neighbors, power, ranks, sampling, variates
+from .registry import ORACLE_SQL, QUERIES, query
 from .sources import catalog
-from .sources.adapters import BOX, HALOS_SQL, PARTICLES_SQL, halos, particles, unit
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .sources.adapters import BOX, halos, particles, unit
 
 MASS_EDGES = [0.0, 2.0e12, 4.0e12, 6.0e12, 8.0e12, 1.2e13]
 
 
-def query(sql: str | None = None, tables: str = ""):
-    """Register a query, with SQL after the views that it names (h: halos, p: particles)."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            views = [v for k, v in (("h", HALOS_SQL), ("p", PARTICLES_SQL)) if k in tables]
-            text = sql.strip()
-            more = text[5:] if text.upper().startswith("WITH ") else None
-            ORACLE_SQL[f.__name__] = "WITH " + ", ".join(views) + (", " + more if more else " " + text) if views else text
-        return f
-
-    return add
-
-
 def _orders(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
@@ -615,16 +595,6 @@ def multipole_cov(spark, d):
 # --- without SQL: transforms and draws ---
 
 
-@query()
-def power_spectrum_poles(spark, d):
-    return power.power_spectrum(halos(spark, d), BOX, 32, 16, 4, poles=(0, 2, 4))
-
-
-@query()
-def tidal_shear(spark, d):
-    return power.cells_frame(spark, power.tidal_shear(halos(spark, d), 16, BOX, 60.0), "shear")
-
-
 @query()
 def hod_nfw_satellites(spark, d):
     h = halos(spark, d).withColumn("r98", F.lit(1.5)).withColumn("conc", F.lit(6.0)).withColumn("sigma_v", F.lit(300.0))
@@ -634,3 +604,8 @@ def hod_nfw_satellites(spark, d):
 @query()
 def lc_randoms(spark, d):
     return sampling.random_shell(spark, 20_000, 300.0, 800.0, 11, octant=True).where(sampling.in_box(0, 700))
+
+
+from . import queries_fields, queries_more  # noqa: E402, F401  they register more
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
