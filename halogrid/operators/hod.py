@@ -142,10 +142,10 @@ def nfw_satellites(halos: DataFrame, name: str, t: Tracer, box: float, seed: int
     return h.select("id", "sat", *pos, *vel, "mass", F.lit(name).alias("tracer"))
 
 
-def velocity_bias(df: DataFrame, alpha: float, dev: tuple[str, str, str]) -> DataFrame:
+def velocity_bias(df: DataFrame, alpha: float | Column, dev: tuple[str, str, str]) -> DataFrame:
     """Centrals: v + alpha * deviation."""
     for a, d in zip("xyz", dev, strict=True):
-        df = df.withColumn(f"v{a}", F.col(f"v{a}") + F.lit(alpha) * F.col(d))
+        df = df.withColumn(f"v{a}", F.col(f"v{a}") + (alpha if isinstance(alpha, Column) else F.lit(alpha)) * F.col(d))
     return df
 
 
@@ -189,9 +189,10 @@ def evolved(t: Tracer, z: float, z_pivot: float, slopes: dict[str, float]) -> Tr
     return replace(t, **{name: getattr(t, name) + slope * step for name, slope in slopes.items()})
 
 
-def satellite_velocity(df: DataFrame, alpha: float, halo: tuple[str, str, str] = ("hvx", "hvy", "hvz")) -> DataFrame:
+def satellite_velocity(df: DataFrame, alpha: float | Column, halo: tuple[str, str, str] = ("hvx", "hvy", "hvz")) -> DataFrame:
     """Satellites: the halo's velocity and alpha times the particle's relative to it."""
-    return df.withColumns({f"v{a}": F.col(h) + F.lit(alpha) * (F.col(f"v{a}") - F.col(h)) for a, h in zip("xyz", halo, strict=True)})
+    alpha = alpha if isinstance(alpha, Column) else F.lit(alpha)
+    return df.withColumns({f"v{a}": F.col(h) + alpha * (F.col(f"v{a}") - F.col(h)) for a, h in zip("xyz", halo, strict=True)})
 
 
 def stage(halos: DataFrame, particles: DataFrame, downsample: float = 1.0) -> tuple[DataFrame, DataFrame]:

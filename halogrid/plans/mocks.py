@@ -15,7 +15,11 @@ from ..operators.ranks import rank_in_bins
 
 
 def prepare(halos: DataFrame, box: float, mass_edges: list[float], r_inner: float = 2.0, r_outer: float = 5.0, m_cut: float = 1e11, seed: int = 600) -> DataFrame:
-    """halos with fenv, deltac ranks and stored uniform numbers."""
+    """halos with fenv, deltac ranks and stored uniform numbers.
+
+    Write the result (sinks.write_prepared) and stage what is read back: its plan is long, and every statistic of every mock
+    would analyse and run it again.
+    """
     env = environment_mass(halos, r_inner, r_outer, box, m_cut)
     h = halos.join(env, "id")
     h = rank_in_bins(h, "menv", "mass", mass_edges, "id", "fenv")
@@ -34,12 +38,29 @@ class Mocks:
     velz_to_kms: float
     tracers: dict[str, hod.Tracer] = field(default_factory=lambda: {"LRG": hod.LRG, "ELG": hod.ELG})
 
+    def __post_init__(self) -> None:
+        """Staged tables are kept, in memory as far as it goes, as every set of parameters and every statistic reads them; close() lets them go."""
+        self.halos = self.halos.persist()
+        self.particles = None if self.particles is None else self.particles.persist()
+
+    def close(self) -> None:
+        for df in (self.halos, self.particles):
+            if df is not None:
+                df.unpersist()
+
     def run(self, rsd: bool = True, reseed: int | None = None, nfw: bool = False, origin: tuple[float, float, float] | None = None) -> DataFrame:
-        """id, tracer, x, y, z, vx, vy, vz, mass, is_central."""
+        """id, tracer, x, y, z, vx, vy, vz, mass, is_central.
+
+        Centrals move by alpha_c times the halo's stored deviation (columns exp_x, exp_y, exp_z), satellites are biased by
+        alpha_s around the halo's velocity (columns hvx, hvy, hvz of particles); without these columns velocities stay.
+        """
         h = self.halos if reseed is None else self.halos.withColumn("u", uniform(F.col("id"), reseed))
         cols = ["id", "tracer", "x", "y", "z", "vx", "vy", "vz", "mass"]
         cen = hod.centrals(h, self.tracers)
-        out = cen.select(*cols, F.lit(True).alias("is_central"))
+        out = cen
+        if "exp_x" in cen.columns:
+            out = hod.velocity_bias(cen, self._by_tracer("alpha_c"), ("exp_x", "exp_y", "exp_z"))
+        out = out.select(*cols, F.lit(True).alias("is_central"))
         if nfw:
             for i, (n, t) in enumerate(self.tracers.items()):
                 s = hod.nfw_satellites(h, n, t, self.box, (reseed or 0) + 100 * (i + 1))
@@ -47,11 +68,23 @@ class Mocks:
         elif self.particles is not None:
             p = self.particles if reseed is None else self.particles.withColumn("u", uniform(F.col("pid"), reseed + 1))
             s = hod.satellites(p, self.tracers, cen).withColumn("id", F.col("halo_id"))
+            if "hvx" in s.columns:
+                s = hod.satellite_velocity(s, self._by_tracer("alpha_s"))
             out = out.unionByName(s.select(*cols, F.lit(False).alias("is_central")))
         return hod.redshift_space(out, 1 / self.velz_to_kms, self.box, origin) if rsd else out
 
+    def _by_tracer(self, parameter: str):
+        out = F.lit(0.0)
+        for n, t in self.tracers.items():
+            out = F.when(F.col("tracer") == n, F.lit(float(getattr(t, parameter)))).otherwise(out)
+        return out
+
     def clustering(self, mock: DataFrame, kind: str, **args) -> DataFrame:
-        """Statistics of all pairs of tracers, with columns t1 and t2 (t1 <= t2 in the tracers' order)."""
+        """Statistics of all pairs of tracers, with columns t1 and t2 (t1 <= t2 in the tracers' order).
+
+        The mock is kept (persist) as each pair reads it several times; the caller unpersists it.
+        """
+        mock = mock.persist()
         names = [t for t in hod.TRACERS if t in self.tracers]
         out = None
         for i, a in enumerate(names):

@@ -133,7 +133,8 @@ def test_power_of_a_plane_wave(spark):
 
 def test_mock_end_to_end(spark, tmp_path):
     h = halos(spark, SF).withColumns({"r98": F.lit(1.5), "conc": F.lit(6.0) + F.col("id") % 3, "sigma_v": F.lit(300.0)})
-    staged = prepare(h, 1000.0, [0.0, 5e12, 1e13, 2e13], 20.0, 60.0, 1e11).persist()
+    sinks.write_prepared(prepare(h, 1000.0, [0.0, 5e12, 1e13, 2e13], 20.0, 60.0, 1e11), f"{tmp_path}/staged")
+    staged = spark.read.parquet(f"{tmp_path}/staged")
     tracers = {"LRG": hod.Tracer(13.0, 13.6, 0.6, 1.0, 0.4, bcent=0.2), "ELG": hod.Tracer(12.5, 13.2, 1.0, 1.0, 1.0, p_max=0.5, gamma=2.0)}
     m = Mocks(staged, None, 1000.0, 100.0, tracers)
     mock = m.run(reseed=3).persist()
@@ -141,12 +142,12 @@ def test_mock_end_to_end(spark, tmp_path):
     rows = mock.collect()
     assert {(r.id, r.tracer) for r in rows} == again and len({r.id for r in rows}) == len(rows) > 100
     assert all(-500 <= r.z < 500 for r in rows)
+    mock = sinks.read_mock(spark, sinks.write_mock(mock, f"{tmp_path}/mock"))
     wp = m.clustering(mock, "wp", rp=[5.0, 20.0, 60.0], pimax=40)
     assert {(r.t1, r.t2) for r in wp.collect()} <= {("LRG", "LRG"), ("LRG", "ELG"), ("ELG", "ELG")}
     with pytest.raises(ValueError):
         m.clustering(mock, "other")
-    path = sinks.write_mock(mock, f"{tmp_path}/mock")
-    assert sinks.read_mock(spark, path, "LRG").count() == sum(r.tracer == "LRG" for r in rows)
+    assert sinks.read_mock(spark, f"{tmp_path}/mock_rsd", "LRG").count() == sum(r.tracer == "LRG" for r in rows)
     assert m.run(nfw=True, reseed=4).where("not is_central").count() > 0
 
 
