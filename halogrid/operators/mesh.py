@@ -26,14 +26,16 @@ def deposit(points: DataFrame, n: int, box: float, kind: str = "tsc", weight: Co
     Weights are summed as decimals, so that the sum does not depend on the order of rows.
     """
     assign = _tsc if kind == "tsc" else _cic
-    d = points.withColumn("_w", F.lit(1.0) if weight is None else weight.cast("double"))
-    for a in axes:
-        d = d.withColumn(f"_{a}", F.explode(assign((F.col(a) + F.lit(offset)) * F.lit(n / box), n)))
-    w = F.col("_w")
-    for a in axes:
-        w = w * F.col(f"_{a}.w")
-    keys = [F.col(f"_{a}.i").alias(f"i{a}") for a in axes]
-    return d.select(*keys, w.cast(f"decimal(28,{decimals})").alias("w")).where("w <> 0").groupBy(*[f"i{a}" for a in axes]).agg(F.sum("w").cast("double").alias("density"))
+    per_axis = {f"_{a}": assign((F.col(a) + F.lit(offset)) * F.lit(n / box), n) for a in axes}
+    d = points.select((F.lit(1.0) if weight is None else weight.cast("double")).alias("_w"), *[x.alias(c) for c, x in per_axis.items()])
+    # One row for each cell that a point reaches, from one generator: the product of the axes' weights.
+    t = f"decimal(28,{decimals})"
+    if axes == "xyz":
+        cells = f"flatten(transform(_x, p -> flatten(transform(_y, q -> transform(_z, r -> named_struct('ix', p.i, 'iy', q.i, 'iz', r.i, 'w', cast(_w * p.w * q.w * r.w as {t})))))))"
+    else:
+        a, b = axes
+        cells = f"flatten(transform(_{a}, p -> transform(_{b}, q -> named_struct('i{a}', p.i, 'i{b}', q.i, 'w', cast(_w * p.w * q.w as {t})))))"
+    return d.select(F.inline(F.expr(cells))).where("w <> 0").groupBy(*[f"i{a}" for a in axes]).agg(F.sum("w").cast("double").alias("density"))
 
 
 def overdensity(field: DataFrame, n_cells: int) -> DataFrame:

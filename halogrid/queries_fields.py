@@ -51,7 +51,7 @@ def _bins_sql(x: str, edges: list[float]) -> str:
 
 def _mode_sql(n: int) -> str:
     a, b = _signed("a.i", n), _signed("b.i", n)
-    return f"""modes AS (SELECT a.i AS ix, b.i AS iy, c.i AS iz, CASE WHEN c.i = 0 THEN 1 ELSE 2 END AS w, {a} * {a} + {b} * {b} AS p2, {a} * {a} + {b} * {b} + c.i * c.i AS i2 FROM range({n}) a(i), range({n}) b(i), range({n // 2 + 1}) c(i)),
+    return f"""modes AS (SELECT a.i::INT AS ix, b.i::INT AS iy, c.i::INT AS iz, CASE WHEN c.i = 0 THEN 1 ELSE 2 END AS w, {a} * {a} + {b} * {b} AS p2, {a} * {a} + {b} * {b} + c.i * c.i AS i2 FROM range({n}) a(i), range({n}) b(i), range({n // 2 + 1}) c(i)),
 m AS (SELECT *, CASE WHEN i2 > 0 THEN (iz * iz)::DOUBLE / i2 ELSE 0 END AS mu2 FROM modes)"""
 
 
