@@ -42,7 +42,7 @@ class Items:
     """Items of one length in words, with tables of their fingerprints' blocks."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], radius: int):
-        self.ids, self.sets, self.radius = np.array(ids, np.int64), sets, radius
+        self.ids, self.sets, self.radius = ids, sets, radius
         self.prints = np.concatenate([prints(signs(s).sum(0, keepdims=True)) for s in sets])
         near = _popcount[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= radius // BLOCKS
         # tables[b][v]: items whose block b is near v.
@@ -89,7 +89,7 @@ class Index:
 
     def matches(self, word: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], lo: int) -> list[tuple[int, int, int, float]]:
         """(item, first word, number of words, similarity): the best window of each item, for one document's words."""
-        best: dict[int, tuple[float, int, int]] = {}
+        best: dict[int | None, tuple[float, int, int]] = {}
         short: set[tuple[int, int]] = set()
         for order, (place, which, all_) in hits.items():
             shingle = all_[lo : lo + len(word) - order + 1]
@@ -115,17 +115,17 @@ class Index:
                         for s, f in zip(part.tolist(), prints(total[width:] - total[:-width]), strict=True):
                             for j in group.within(f).tolist():
                                 sim = similarity(shingle[s : s + width], group.sets[j])
-                                item = int(group.ids[j])
+                                item = group.ids[j]
                                 if 100 * sim >= self.percent - 1e-9 and (item not in best or sim > best[item][0]):
                                     best[item] = sim, s, n
         for order, n in short:
             shingle = hits[order][2][lo : lo + len(word) - order + 1]
             for i, own in zip(self.groups[n].ids, self.groups[n].sets, strict=True):
                 sim = similarity(shingle, own)
-                item = int(i)
+                item = i
                 if 100 * sim >= self.percent - 1e-9 and (item not in best or sim > best[item][0]):
                     best[item] = sim, 0, len(word)
-        return [(item, s, n, sim) for item, (sim, s, n) in sorted(best.items())]
+        return [(item, s, n, sim) for item, (sim, s, n) in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
 
 
 def find(texts: list[bytes], index: Index) -> list[list[tuple[int, int, int, float]]]:
@@ -167,7 +167,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
     Words are runs of letters, digits and bytes over 127, A-Z lower-cased.  A window matches an item of as many words
     if the weighted similarity of their k-word shingles is percent / 100 or more; an item of fewer than k words is one
     shingle, so it matches its exact words.  A text of fewer words than the item is one window, all of it.  Null and empty
-    texts match nothing, nor do null or blank items.
+    texts match nothing, nor do null or blank items; items with a null id are reported as one with a null id.
     A null doc_id is reported as null; rows that repeat are reported each.  Other columns are ignored.
     """
     spark = session(docs.sparkSession)
