@@ -23,19 +23,23 @@ def _cic(u: Column, n: int) -> Column:
 def deposit(points: DataFrame, n: int, box: float, kind: str = "tsc", weight: Column | None = None, offset: float = 0.0, axes: str = "xyz", decimals: int = 12) -> DataFrame:
     """Cell table (ix, iy[, iz], density) of points; kind tsc or cic.
 
-    Weights are summed as decimals, so that the sum does not depend on the order of rows.
+    Weights are summed as decimals, so that the sum does not depend on the order of rows; without a weight, where no product
+    exceeds 1, as whole numbers of 2**-40 in two halves that no number of points overflows.
     """
     assign = _tsc if kind == "tsc" else _cic
     per_axis = {f"_{a}": assign((F.col(a) + F.lit(offset)) * F.lit(n / box), n) for a in axes}
     d = points.select((F.lit(1.0) if weight is None else weight.cast("double")).alias("_w"), *[x.alias(c) for c, x in per_axis.items()])
     # One row for each cell that a point reaches, from one generator: the product of the axes' weights.
-    t = f"decimal(28,{decimals})"
+    number = "cast({w} * 1099511627776D + 0.5D as bigint)" if weight is None else "cast({w} as decimal(28,%d))" % decimals
     if axes == "xyz":
-        cells = f"flatten(transform(_x, p -> flatten(transform(_y, q -> transform(_z, r -> named_struct('ix', p.i, 'iy', q.i, 'iz', r.i, 'w', cast(_w * p.w * q.w * r.w as {t})))))))"
+        cells = f"flatten(transform(_x, p -> flatten(transform(_y, q -> transform(_z, r -> named_struct('ix', p.i, 'iy', q.i, 'iz', r.i, 'w', {number.format(w='_w * p.w * q.w * r.w')}))))))"
     else:
         a, b = axes
-        cells = f"flatten(transform(_{a}, p -> transform(_{b}, q -> named_struct('i{a}', p.i, 'i{b}', q.i, 'w', cast(_w * p.w * q.w as {t})))))"
-    return d.select(F.inline(F.expr(cells))).where("w <> 0").groupBy(*[f"i{a}" for a in axes]).agg(F.sum("w").cast("double").alias("density"))
+        cells = f"flatten(transform(_{a}, p -> transform(_{b}, q -> named_struct('i{a}', p.i, 'i{b}', q.i, 'w', {number.format(w='_w * p.w * q.w')}))))"
+    d = d.select(F.inline(F.expr(cells))).where("w <> 0").groupBy(*[f"i{a}" for a in axes])
+    if weight is not None:
+        return d.agg(F.sum("w").cast("double").alias("density"))
+    return d.agg((F.sum(F.shiftright("w", 20)) / F.lit(2.0**20) + F.sum(F.col("w").bitwiseAND((1 << 20) - 1)) / F.lit(2.0**40)).alias("density"))
 
 
 def overdensity(field: DataFrame, n_cells: int) -> DataFrame:

@@ -190,17 +190,17 @@ def tidal_shear(spark, d):
     return power.cells_frame(spark, power.tidal_shear(halos(spark, d), 16, BOX, 60.0), "shear").withColumn("shear", F.round("shear", 6))
 
 
-@query(f"WITH {_tsc_sql(8)}, {_mirror_sql(8, 150.0)} SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(v, 9) AS v FROM smooth", "h")
+@query(f"WITH {_tsc_sql(8)}, {_mirror_sql(8, 150.0)} SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(v, 6) + 0.0::DOUBLE AS v FROM smooth", "h")
 def density_smoothed(spark, d):
     cells = mesh.overdensity(mesh.deposit(halos(spark, d), 8, BOX), 512)
-    return power.cells_frame(spark, power.smooth_density(power.dense(cells, 8, "delta", -1.0), 150.0, BOX), "v").withColumn("v", F.round("v", 9))
+    return power.cells_frame(spark, power.smooth_density(power.dense(cells, 8, "delta", -1.0), 150.0, BOX), "v").withColumn("v", F.round("v", 6) + 0.0)
 
 
-@query(f"WITH {_tsc_sql(8)}, t AS (SELECT sum(v) / 512 AS m, sum(v * v) / 512 AS m2 FROM delta) SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(v - m, 9) AS delta, round(v * v - m2, 9) AS delta2 FROM delta, t", "h")
+@query(f"WITH {_tsc_sql(8)}, t AS (SELECT sum(v) / 512 AS m, sum(v * v) / 512 AS m2 FROM delta) SELECT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz, round(v - m, 6) + 0.0::DOUBLE AS delta, round(v * v - m2, 6) + 0.0::DOUBLE AS delta2 FROM delta, t", "h")
 def initial_fields(spark, d):
     f = fields.initial_fields(_density(spark, d, 8), BOX)
     one = power.cells_frame(spark, f["delta"], "delta").join(power.cells_frame(spark, f["delta2"], "delta2"), ["ix", "iy", "iz"])
-    return one.select("ix", "iy", "iz", F.round("delta", 9).alias("delta"), F.round("delta2", 9).alias("delta2"))
+    return one.select("ix", "iy", "iz", (F.round("delta", 6) + 0.0).alias("delta"), (F.round("delta2", 6) + 0.0).alias("delta2"))
 
 
 def _density(spark, d, n):
