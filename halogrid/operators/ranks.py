@@ -46,9 +46,8 @@ def rank_in_bins(df: DataFrame, value: str, mass: str, edges: list[float], key:
     return ranked.drop("_n", "_index").unionByName(d.where("_bin is null").withColumn(out, F.lit(0.0))).drop("_bin")
 
 
-def _bounds(df: DataFrame, order: list[str]) -> tuple[list, StructType]:
-    """Rows that cut df, in this order, into about as many parts as there are shuffle partitions: a sample by hash, brought to the driver once."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _bounds(df: DataFrame, order: list[str], parts: int) -> tuple[list, StructType]:
+    """Rows that cut df, in this order, into about so many parts: a sample by hash, brought to the driver once."""
     most = min(SAMPLE_ROWS * parts, MOST_SAMPLED)
     keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(order)]
     sample = df.select(*keys, F.xxhash64(*order).alias("h")).orderBy("h").limit(most).drop("h")
@@ -57,29 +56,35 @@ def _bounds(df: DataFrame, order: list[str]) -> tuple[list, StructType]:
     return [rows[i] for i in at], sample.schema
 
 
+def ordered_buckets(df: DataFrame, order: list[str], out: str = "_part", finer: int = 1) -> DataFrame:
+    """df with its bucket in this order: an int that never falls as the order rises, of about `finer` values a shuffle partition.
+
+    A row's bucket is the number of the sampled bounds that do not exceed it, a column like any other, so nothing rests on
+    which partition a row falls into.  Bounds are found by two levels of comparison: a row meets about twice the root of
+    their number.  Rows that are equal in the order share a bucket.
+    """
+    found, schema = _bounds(df, order, finer * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not found:
+        return df.withColumn(out, F.lit(0))
+    step = math.isqrt(len(found)) + 1
+    low = [found[i : i + step] for i in range(0, len(found), step)]
+    kind = schema.simpleString()
+    one = df.sparkSession.createDataFrame([([b[0] for b in low], low)], f"_tops array<{kind}>, _low array<array<{kind}>>")
+    r = df.crossJoin(F.broadcast(one))  # one row, MOST_SAMPLED bounds at most
+    me = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    top = F.size(F.filter("_tops", lambda b: b <= me))
+    inner = F.when(top > 0, F.size(F.filter(F.element_at("_low", F.greatest(top, F.lit(1))), lambda b: b <= me))).otherwise(0)
+    return r.withColumn(out, F.greatest(top - 1, F.lit(0)) * step + inner).drop("_tops", "_low")
+
+
 def ordered_index(df: DataFrame, order: list[str], by: str | None = None, weight: str | None = None, out: str = "_index") -> DataFrame:
     """Global row number from 0 (or exclusive prefix sum of weight) in this order, inside each group `by`, without one-task windows.
 
-    The order must be unique for a defined result.  Each row gets the number of the bounds that do not exceed it as its
-    bucket, a column like any other: rows are numbered inside (bucket, group), the sums of the buckets, few rows, give
-    what comes before them, and nothing rests on which partition a row falls into.  Bounds are found by two levels of
-    comparison, so that a row meets about twice the root of their number.
+    The order must be unique for a defined result.  Rows are numbered inside (bucket, group), and the sums of the buckets, few
+    rows, give what comes before them.
     """
-    spark, keys = df.sparkSession, [by] if by else []
-    found, schema = _bounds(df, order)
-    r = df
-    if found:
-        step = math.isqrt(len(found)) + 1
-        low = [found[i : i + step] for i in range(0, len(found), step)]
-        kind = schema.simpleString()
-        one = spark.createDataFrame([([b[0] for b in low], low)], f"_tops array<{kind}>, _low array<array<{kind}>>")
-        r = r.crossJoin(F.broadcast(one))  # one row, MOST_SAMPLED bounds at most
-        me = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-        top = F.size(F.filter("_tops", lambda b: b <= me))
-        inner = F.when(top > 0, F.size(F.filter(F.element_at("_low", F.greatest(top, F.lit(1))), lambda b: b <= me))).otherwise(0)
-        r = r.withColumn("_part", F.greatest(top - 1, F.lit(0)) * step + inner).drop("_tops", "_low")
-    else:
-        r = r.withColumn("_part", F.lit(0))
+    keys = [by] if by else []
+    r = ordered_buckets(df, order)
     w = W.partitionBy("_part", *keys).orderBy(*order)
     x = F.col(weight) if weight else F.lit(1)
     zero = F.lit(0).cast("long")
