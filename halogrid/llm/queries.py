@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, licenses, near_dup, packing, quality, secrets, suffix_dedup, toxicity, url_filters
+from . import ann, decontaminate, fingerprints, licenses, near_dup, packing, quality, resampling, secrets, suffix_dedup, toxicity, url_filters, whitening
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,10 @@ QUERIES = {
         near_dup.op8_minhash_near_dedup,
         quality.op9_quality_classifier,
         suffix_dedup.op10_suffix_array_dedup,
+        whitening.op11_embedding_whitening,
+        fingerprints.op12_document_fingerprints,
+        resampling.op13_importance_resampling,
     )
 }
 
-ORACLE_SQL = {"op5_url_filters": url_filters.ORACLE}
+ORACLE_SQL = {"op5_url_filters": url_filters.ORACLE, "op13_importance_resampling": resampling.ORACLE}
