@@ -606,6 +606,6 @@ def lc_randoms(spark, d):
     return sampling.random_shell(spark, 20_000, 300.0, 800.0, 11, octant=True).where(sampling.in_box(0, 700))
 
 
-from . import queries_fields, queries_more  # noqa: E402, F401  they register more
+from . import queries_fields, queries_more, queries_spatial  # noqa: E402, F401  they register more
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
