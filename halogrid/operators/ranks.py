@@ -13,24 +13,47 @@ from pyspark.sql.types import StructType
 SAMPLE_ROWS, MOST_SAMPLED = 64, 1 << 16
 
 
+#: Edges up to which a search is a tree of comparisons in generated code; more are searched in an array.
+TREE_EDGES = 64
+
+
+def searchsorted(x: Column, edges: list[float], side: str = "left") -> Column:
+    """Number of edges (rising) below x, with side right also those equal to it, in about log2(edges) comparisons; null for a null x, all for NaN."""
+    edges = [float(e) for e in edges]
+    before = (lambda e: e <= x) if side == "right" else (lambda e: e < x)
+    if len(edges) <= TREE_EDGES:
+
+        def tree(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(before(F.lit(edges[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+        return F.when(x.isNotNull(), tree(0, len(edges)))
+    steps = F.lit([1 << i for i in range(len(edges).bit_length() - 1, -1, -1)])
+
+    def search(all_):
+        # The answer is put together from its highest bit on: a step is taken if the edge before the place it leads to counts.
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(before(F.get(all_, at + step - 1)), F.lit(False)), at + step).otherwise(at))
+
+    edges_once = F.expr("array(array(" + ", ".join(f"{e!r}D" for e in edges) + "))")  # one literal, bound to a name
+    return F.when(x.isNotNull(), F.transform(edges_once, search)[0])
+
+
 def bin_index(x: Column, edges: list[float], rule: str = "open") -> Column:
     """Index of the bin of x, or null.
 
-    open: lo < x < hi (mass ranks).  left: lo <= x < hi, the last closed (histograms).  right: lo < x <= hi, the first closed,
-    nothing at or over the last edge (mode bins).
+    open: lo < x < hi (mass ranks).  left: lo <= x < hi, the last closed (histograms).  half: the same, the last half-open.
+    right: lo < x <= hi, the first closed, nothing at or over the last edge (mode bins).
     """
-    out = F.lit(None).cast("int")
-    last = len(edges) - 2
-    for i in range(last, -1, -1):
-        lo, hi = edges[i], edges[i + 1]
-        if rule == "open":
-            ok = (x > lo) & (x < hi)
-        elif rule == "left":
-            ok = (x >= lo) & ((x < hi) if i < last else (x <= hi))
-        else:
-            ok = ((x > lo) if i else (x >= lo)) & ((x <= hi) if i < last else (x < hi))
-        out = F.when(ok, F.lit(i)).otherwise(out)
-    return out
+    first, last, bins = F.lit(float(edges[0])), F.lit(float(edges[-1])), len(edges) - 1
+    at = searchsorted(x, edges, "left" if rule == "right" else "right") - 1
+    if rule == "open":
+        return F.when((x > first) & (x < last) & (at == searchsorted(x, edges, "left") - 1), at)
+    if rule == "right":
+        return F.when((x >= first) & (x < last), F.greatest(at, F.lit(0)))
+    inside = (x >= first) & (x < last)
+    return F.when(inside, at).when(x == last, F.lit(bins - 1)) if rule == "left" else F.when(inside, at)
 
 
 def rank_in_bins(df: DataFrame, value: str, mass: str, edges: list[float], key: str, out: str = "rank") -> DataFrame:

@@ -470,16 +470,6 @@ def partition_starts(spark, d):
     return mesh.partition_starts(halos(spark, d), 16, BOX)
 
 
-@query("SELECT id * 31 % 768 AS pixel, count(*)::BIGINT AS n FROM halos GROUP BY 1", "h")
-def healpix_histogram(spark, d):
-    return mesh.pixel_counts(halos(spark, d).select(F.expr("id * 31 % 768").alias("pixel")))
-
-
-@query("SELECT (id * 31 % 768) >> 4 AS pixel, count(*)::BIGINT AS n FROM halos GROUP BY 1", "h")
-def healpix_degrade(spark, d):
-    return mesh.degrade(mesh.pixel_counts(halos(spark, d).select(F.expr("id * 31 % 768").alias("pixel"))), 2)
-
-
 # --- occupations ---
 
 _ERF = "CASE WHEN {x} >= 0 THEN 1 ELSE -1 END * (1 - ((((1.061405429::DOUBLE / (1 + 0.3275911::DOUBLE * abs({x})) - 1.453152027::DOUBLE) / (1 + 0.3275911::DOUBLE * abs({x})) + 1.421413741::DOUBLE) / (1 + 0.3275911::DOUBLE * abs({x})) - 0.284496736::DOUBLE) / (1 + 0.3275911::DOUBLE * abs({x})) + 0.254829592::DOUBLE) / (1 + 0.3275911::DOUBLE * abs({x})) * exp(-({x}) * ({x})))"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import nearest
+from .functions.healpix import nested_pixel, ring_pixel
+from .operators import mesh, nearest, ranks
 from .queries import _D2, _SOME
 from .registry import query
 from .sources.adapters import BOX, halos
@@ -31,3 +32,46 @@ def halo_k_nearest(spark, d):
 def menv_own_radii(spark, d):
     h = halos(spark, d).select("id", "x", "y", "z", F.col("n").alias("mass"), (F.col("n") % 37).cast("double").alias("inner"), (F.lit(40.0) + F.col("n") % 61).alias("outer"))
     return nearest.environment_mass_radii(h, "inner", "outer", BOX, 1000)
+
+
+#: Pixels a side of a face, seen from the middle of the box.
+NSIDE = 8
+_SEEN = f"""seen AS (SELECT id, n, x - 500 AS dx, y - 500 AS dy, z - 500 AS dz FROM halos),
+dir AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 AND dz = 0 THEN 1.0::DOUBLE ELSE dz / sqrt(dx * dx + dy * dy + dz * dz) END AS u, atan2(dy, dx) / (pi() / 2) AS t0 FROM seen),
+turn AS (SELECT *, CASE WHEN t0 < 0 AND t0 + 4 >= 4 THEN 0 WHEN t0 < 0 THEN t0 + 4 ELSE t0 END AS t FROM dir),
+edge AS (SELECT *, floor({NSIDE} * (t + 0.5::DOUBLE) - {NSIDE} * 0.75::DOUBLE * u)::BIGINT AS up, floor({NSIDE} * (t + 0.5::DOUBLE) + {NSIDE} * 0.75::DOUBLE * u)::BIGINT AS down,
+  floor((t - floor(t)) * (sqrt(3 * (1 - abs(u))) * {NSIDE}))::BIGINT AS a, floor((1 - (t - floor(t))) * (sqrt(3 * (1 - abs(u))) * {NSIDE}))::BIGINT AS b FROM turn),
+ring AS (SELECT id, n, CASE WHEN abs(u) <= 2 / 3.0::DOUBLE THEN {2 * NSIDE * (NSIDE - 1)} + (up - down + {NSIDE}) * {4 * NSIDE} + ((up + down - {NSIDE} + ((up - down + {NSIDE}) & 1) + 1 + {8 * NSIDE}) >> 1) % {4 * NSIDE}
+  WHEN u > 0 THEN 2 * (a + b + 1) * (a + b) + floor(t * (a + b + 1))::BIGINT % (4 * (a + b + 1))
+  ELSE {12 * NSIDE**2} - 2 * (a + b + 1) * (a + b + 2) + floor(t * (a + b + 1))::BIGINT % (4 * (a + b + 1)) END AS pixel FROM edge),
+face AS (SELECT id, n, CASE WHEN abs(u) <= 2 / 3.0::DOUBLE THEN CASE WHEN up // {NSIDE} = down // {NSIDE} THEN (up // {NSIDE}) % 4 + 4 WHEN up // {NSIDE} < down // {NSIDE} THEN up // {NSIDE} ELSE down // {NSIDE} + 8 END
+    WHEN u > 0 THEN least(floor(t)::BIGINT, 3) ELSE least(floor(t)::BIGINT, 3) + 8 END AS f,
+  CASE WHEN abs(u) <= 2 / 3.0::DOUBLE THEN down % {NSIDE} WHEN u > 0 THEN {NSIDE - 1} - least(b, {NSIDE - 1}) ELSE least(a, {NSIDE - 1}) END AS p,
+  CASE WHEN abs(u) <= 2 / 3.0::DOUBLE THEN {NSIDE - 1} - up % {NSIDE} WHEN u > 0 THEN {NSIDE - 1} - least(a, {NSIDE - 1}) ELSE least(b, {NSIDE - 1}) END AS q FROM edge),
+nest AS (SELECT id, n, f * {NSIDE**2} + (p & 1) + 4 * ((p >> 1) & 1) + 16 * ((p >> 2) & 1) + 2 * ((q & 1) + 4 * ((q >> 1) & 1) + 16 * ((q >> 2) & 1)) AS pixel FROM face)"""
+
+
+def _pixels(spark, d, number):
+    return halos(spark, d).select("id", "n", number(*[F.col(c) - BOX / 2 for c in "xyz"], NSIDE).alias("pixel"))
+
+
+@query(f"WITH {_SEEN} SELECT pixel, count(*)::BIGINT AS n FROM nest GROUP BY 1", "h")
+def healpix_histogram(spark, d):
+    return mesh.pixel_counts(_pixels(spark, d, nested_pixel))
+
+
+@query(f"WITH {_SEEN} SELECT pixel >> 4 AS pixel, count(*)::BIGINT AS n FROM nest GROUP BY 1", "h")
+def healpix_degrade(spark, d):
+    return mesh.degrade(mesh.pixel_counts(_pixels(spark, d, nested_pixel)), 2)
+
+
+@query(f"WITH {_SEEN} SELECT pixel, sum(n)::BIGINT AS particles FROM ring GROUP BY 1", "h")
+def healpix_ring_map(spark, d):
+    return _pixels(spark, d, ring_pixel).groupBy("pixel").agg(F.sum("n").alias("particles"))
+
+
+@query("SELECT greatest(least(n // 7, 299), 0)::INT AS bin, count(*)::BIGINT AS n, min(n)::BIGINT AS least FROM halos WHERE n >= 0 AND n <= 2100 GROUP BY 1", "h")
+def bins_by_search(spark, d):
+    """300 bins, found by a binary search."""
+    b = halos(spark, d).select("n", ranks.bin_index(F.col("n").cast("double"), [7.0 * i for i in range(301)], "left").alias("bin")).where("bin is not null")
+    return b.groupBy("bin").agg(F.count("*").alias("n"), F.min("n").alias("least"))
