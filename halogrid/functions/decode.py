@@ -111,7 +111,24 @@ def decode_pack9(records: DataFrame, box: float, velz_to_kms: float = 1.0) -> Da
     w = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     header = F.when(F.col("head"), F.struct(*[(F.col(n) + PACK_CELL).alias(n) for n in names[1:]]))
     r = r.withColumn("cell", F.last(header, ignorenulls=True).over(w)).where("not head and cell is not null")
+    return r.select("file", "pos", *_pack9_particle(names, box, velz_to_kms))
+
+
+def _pack9_particle(names: list[str], box: float, velz_to_kms: float) -> list[Column]:
+    """x, y, z, vx, vy, vz from a record's fields and its header's (column cell)."""
     size = F.lit(float(box)) / F.col("cell.f1")
     pos = [F.col(n) * PACK_STEP * size + (F.col(f"cell.{c}") + 0.5) * size - box / 2 for n, c in zip(names[:3], names[3:], strict=True)]
     vel = [F.col(n) * (F.col("cell.f2") * PACK_STEP / F.col("cell.f1") * velz_to_kms) for n in names[3:]]
-    return r.select("file", "pos", *[p.alias(a) for p, a in zip(pos, "xyz", strict=True)], *[v.alias(f"v{a}") for v, a in zip(vel, "xyz", strict=True)])
+    return [c.alias(n) for n, c in zip(("x", "y", "z", "vx", "vy", "vz"), pos + vel, strict=True)]
+
+
+def decode_pack9_records(records: DataFrame, box: float, velz_to_kms: float = 1.0) -> DataFrame:
+    """row, x, y, z, vx, vy, vz of records that carry their header (columns row, record, header), as the binary source reads them.
+
+    Nothing is carried from row to row, so ranges of a file decode apart; records before any header are left out.
+    """
+    names = [f"f{i}" for i in range(6)]
+    fields = pack9_fields(pack9_bytes(F.col("record")))
+    head = F.struct(*[(x + PACK_CELL).alias(n) for n, x in zip(names[1:], pack9_fields(pack9_bytes(F.col("header")))[1:], strict=True)])
+    r = records.where("length(header) = 9").select("row", *[x.alias(n) for n, x in zip(names, fields, strict=True)], head.alias("cell"))
+    return r.select("row", *_pack9_particle(names, box, velz_to_kms))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.math import uniform
@@ -12,6 +12,7 @@ from ..operators import hod
 from ..operators.neighbors import environment_mass, multipole, projected, xi_rp_pi, xi_s_mu
 from ..operators.power import power_spectrum
 from ..operators.ranks import rank_in_bins
+from ..sources.storage import Stored
 
 
 def prepare(halos: DataFrame, box: float, mass_edges: list[float], r_inner: float = 2.0, r_outer: float = 5.0, m_cut: float = 1e11, seed: int = 600) -> DataFrame:
@@ -37,12 +38,23 @@ class Mocks:
     box: float
     velz_to_kms: float
     tracers: dict[str, hod.Tracer] = field(default_factory=lambda: {"LRG": hod.LRG, "ELG": hod.ELG})
+    keep: bool = True
 
     def __post_init__(self) -> None:
-        """Staged tables are kept, in memory as far as it goes, as every set of parameters and every statistic reads them; close() lets them go."""
+        """Staged tables are kept, in memory as far as it goes, as every set of parameters and every statistic reads them; close() lets them go.
+
+        Without keep they are read anew each time, as tables stored by halo should be: what is kept in memory has no buckets.
+        """
+        if not self.keep:
+            return
         self.halos = self.halos.persist()
         self.particles = None if self.particles is None else self.particles.persist()
 
+    @classmethod
+    def stored(cls, spark: SparkSession, store: Stored, box: float, velz_to_kms: float, **more) -> Mocks:
+        """Mocks of tables stored by halo: halos and particles meet bucket by bucket."""
+        return cls(*store.tables(spark), box, velz_to_kms, keep=False, **more)
+
     def close(self) -> None:
         for df in (self.halos, self.particles):
             if df is not None:

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import functions as F
 
+from .functions import decode
 from .functions.healpix import nested_pixel, ring_pixel
 from .operators import mesh, nearest, ranks
-from .queries import _D2, _SOME
+from .plans.mocks import Mocks
+from .queries import _D2, _PE, _PL, _PS, _PU, _SOME, _U, ELG, LRG, _drawn, _elg
 from .registry import query
-from .sources.adapters import BOX, halos
+from .session import shared_folder
+from .sources import records, storage
+from .sources.adapters import BOX, halos, particles, unit
 
 K = 4
 
@@ -75,3 +83,41 @@ def bins_by_search(spark, d):
     """300 bins, found by a binary search."""
     b = halos(spark, d).select("n", ranks.bin_index(F.col("n").cast("double"), [7.0 * i for i in range(301)], "left").alias("bin")).where("bin is not null")
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.min("n").alias("least"))
+
+
+@query(
+    f"""WITH m AS (SELECT id, mass, {_U} AS u, {_PL} AS l, {_PE} AS e FROM halos), c AS (SELECT id, mass, CASE WHEN u <= l THEN 'LRG' WHEN u <= l + e THEN 'ELG' END AS cen FROM m),
+j AS (SELECT halo_id AS id, pid, {_PS} * 0.9::DOUBLE AS pl, CASE WHEN cen = 'LRG' THEN {_elg(repr(10**13.0), "0.8")} WHEN cen = 'ELG' THEN {_elg(repr(10**12.9), "0.9")} ELSE {_elg(repr(10**13.2), "1.0")} END AS pe FROM particles JOIN c ON halo_id = id),
+g AS (SELECT id, cen AS tracer, true AS is_central FROM c WHERE cen IS NOT NULL
+  UNION ALL SELECT id, CASE WHEN {_PU} <= pl THEN 'LRG' ELSE 'ELG' END, false FROM j WHERE {_PU} <= pl + pe)
+SELECT tracer, is_central, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids FROM g GROUP BY 1, 2""",
+    "hp",
+)
+def mock_from_stored(spark, d):
+    """Halos and particles are stored by halo; the mock of two tracers is counted from there."""
+    p = particles(spark, d).select("halo_id", "pid", *[F.col(f"d{a}").cast("double").alias(a) for a in "xyz"], *[F.col("v").cast("double").alias(f"v{a}") for a in "xyz"], F.lit(1.0).alias("weight"), unit(F.col("pid"), 2).alias("u"))
+    p = p.join(halos(spark, d).select(F.col("id").alias("halo_id"), "mass"), "halo_id")
+    store = storage.store_by_halo(f"stored_{uuid.uuid4().hex}", _drawn(spark, d), p, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    atexit.register(_forget, store, spark)
+    m = Mocks.stored(spark, store, BOX, 100.0, tracers={"LRG": LRG, "ELG": ELG}).run()
+    return m.groupBy("tracer", "is_central").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def _forget(store, spark):
+    with contextlib.suppress(Exception):  # the session may have ended
+        store.drop(spark)
+
+
+@query(
+    """WITH r AS (SELECT id, n, n * 4096 + n % 4096 AS w, (row_number() OVER (ORDER BY id) - 1)::BIGINT AS row FROM halos)
+SELECT row, ((w >> 12) * (1000.0::DOUBLE / 1000000))::DOUBLE AS x, ((w & 4095) - 2048) * (6000.0::DOUBLE / 2048) AS vx FROM r""",
+    "h",
+)
+def records_round_trip(spark, d):
+    """Packed words of halos written as a binary file in the shared folder and read back in ranges."""
+    word = F.expr("cast(n * 4096 + n % 4096 as int)")
+    h = halos(spark, d).orderBy("id").coalesce(1).select(word.alias("rv_x"), word.alias("rv_y"), word.alias("rv_z"))
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    records.write_records(h, path, "rvint")
+    r = records.read_records(spark, path, "rvint", ["rv_x", "row"], split_bytes=12_000)
+    return r.select("row", decode.rvint_position(F.col("rv_x"), BOX).alias("x"), decode.rvint_velocity(F.col("rv_x")).alias("vx"))

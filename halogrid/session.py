@@ -18,3 +18,11 @@ def get_session(app: str = "halogrid", **conf: str) -> SparkSession:
     for k, v in (base | {k.replace("_", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir; only a local master may go without."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (top or "/tmp/halogrid-checkpoints").rstrip("/")

@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import shutil
 import struct
+import tempfile
 from collections.abc import Callable
 from typing import BinaryIO
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .layout import Files
 
 
-def to_pipe(df: DataFrame, fields: list[str], out: BinaryIO) -> int:
-    """For each field: number of rows (int64), bytes per row (int32), then the values; batches pass through one at a time."""
+def to_pipe(df: DataFrame, fields: list[str], out: BinaryIO, order: list[str] | None = None) -> int:
+    """For each field: number of rows (int64), bytes per row (int32), then the values; the i-th values of all fields are of one row.
+
+    The table is read once, by batches, in the order asked for (as it comes without one); each field's bytes wait in a
+    temporary file of the driver until their turn.
+    """
     if out.isatty():
         raise ValueError("not to a terminal")
     if bad := [f for f in fields if f not in df.columns]:
         raise KeyError(f"unknown fields: {bad}")
-    n = df.count()
-    for f in fields:
-        kind = dict(df.dtypes)[f]
-        one = np.dtype({"int": "i4", "bigint": "i8", "float": "f4", "double": "f8"}[kind.removeprefix("array<").rstrip(">")])
-        width, wrote = None, 0
-        for row in df.select(f).toLocalIterator(prefetchPartitions=True):
-            raw = np.asarray(row[0], one).tobytes()
-            if width is None:
-                width = len(raw)
-                out.write(struct.pack("<qi", n, width))
-            out.write(raw)
-            wrote += 1
-        if width is None:
-            out.write(struct.pack("<qi", 0, one.itemsize))
+    kinds = dict(df.dtypes)
+    types = [np.dtype({"int": "i4", "bigint": "i8", "float": "f4", "double": "f8"}[kinds[f].removeprefix("array<").rstrip(">")]) for f in fields]
+    listed = [kinds[f].startswith("array<") for f in fields]
+
+    def raw(batches):
+        for b in batches:
+            cols = [pa.array([np.asarray((b.column(i).flatten() if of else b.column(i)).to_numpy(zero_copy_only=False), t).tobytes()], pa.binary()) for i, (t, of) in enumerate(zip(types, listed, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), *cols], ["n", *(f"f{i}" for i in range(len(fields)))])
+
+    rows = (df.orderBy(*order) if order else df).select(*fields).mapInArrow(raw, ", ".join(["n long", *(f"f{i} binary" for i in range(len(fields)))]))
+    n = 0
+    with contextlib.ExitStack() as stack:
+        spools = [stack.enter_context(tempfile.TemporaryFile()) for _ in fields]
+        for row in rows.toLocalIterator(prefetchPartitions=True):
+            n += row[0]
+            for spool, part in zip(spools, row[1:], strict=True):
+                spool.write(part)
+        for spool, one in zip(spools, types, strict=True):
+            out.write(struct.pack("<qi", n, spool.tell() // n if n else one.itemsize))
+            spool.seek(0)
+            shutil.copyfileobj(spool, out)
     return n
 
 
