@@ -34,14 +34,18 @@ def _means(binned: DataFrame, keys: list[str], value: str, **more: Column) -> Da
     return binned.groupBy(*keys).agg(n.cast("long").alias("n_modes"), (F.sum(F.col("w") * F.col(value)) / n).alias("mean"), *[(F.sum(F.col("w") * x) / n).alias(c) for c, x in more.items()])
 
 
+def bin_k(modes: DataFrame, step: float, k_edges: list[float]) -> DataFrame:
+    """modes inside the k edges, with their k_bin: open below and closed above, the first closed; nothing at or over the last edge."""
+    return modes.withColumn("k_bin", bin_index(F.col("i2").cast("double"), _squares(k_edges, step), "right")).where("k_bin is not null")
+
+
 def bin_k_mu(modes: DataFrame, value: str, step: float, k_edges: list[float], mu_edges: list[float]) -> DataFrame:
     """k_bin, mu_bin, n_modes, mean, k_avg of the bins that have modes; step is the width of a mode.
 
     Bins are open below and closed above, the first closed; nothing at or over the last k edge.
     """
-    k = bin_index(F.col("i2").cast("double"), _squares(k_edges, step), "right")
     m = F.least(F.coalesce(bin_index(mu2(), [e * e for e in mu_edges], "right"), F.lit(len(mu_edges) - 2)), F.lit(len(mu_edges) - 2))
-    d = modes.withColumn("k_bin", k).where("k_bin is not null").withColumn("mu_bin", m)
+    d = bin_k(modes, step, k_edges).withColumn("mu_bin", m)
     return _means(d, ["k_bin", "mu_bin"], value, k_avg=F.sqrt("i2") * step)
 
 

@@ -1,4 +1,4 @@
-"""Power spectra: Spark reduces points to a cell table, numpy transforms the one dense mesh."""
+"""Power spectra over transformed meshes; fields that need whole meshes in one process are numpy on the cells that Spark sums."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.math import legendre
+from . import transform
 from .mesh import deposit, overdensity
 
 
@@ -82,20 +85,41 @@ def bin_modes(power: np.ndarray, n: int, box: float, k_edges: np.ndarray, mu_edg
     return out
 
 
+def field_modes(points: DataFrame, n: int, box: float, kind: str = "tsc", compensated: bool = True, interlaced: bool = False, weight=None) -> DataFrame:
+    """Modes (transform.modes) of the overdensity of points, as rows: field_fft() without a mesh in one process."""
+
+    def one(offset: float) -> DataFrame:
+        return transform.fourier_lines(overdensity(deposit(points, n, box, kind, weight, offset), n**3), n, "delta", -1.0)
+
+    m = transform.interlaced(one(0.0), one(0.5 * box / n), n) if interlaced else transform.modes(one(0.0), n)
+    return transform.divided(m, ("re", "im"), compensation(n, kind, interlaced)) if compensated else m
+
+
+def binned_spectrum(modes: DataFrame, value: str, n: int, box: float, k: np.ndarray, mu: np.ndarray, poles: tuple[int, ...]) -> DataFrame:
+    """k_bin, mu_bin, k_mid, k_avg, power, n_modes, pole_<l> of every bin; a bin without modes has no means."""
+    from .modes import bin_k, bin_k_mu, mu2
+
+    step = 2 * math.pi / box
+    d = bin_k(modes, step, list(map(float, k)))
+    legs = {p: F.lit(1.0) if p == 0 else legendre(mu2(), p) for p in poles}
+    by_k = d.groupBy("k_bin").agg(*[(F.sum(F.col("w") * F.col(value) * (2 * p + 1) * leg) / F.sum("w")).alias(f"pole_{p}") for p, leg in legs.items()], F.count("*").alias("_n"))
+    by_mu = bin_k_mu(modes, value, step, list(map(float, k)), list(map(float, mu))).withColumnRenamed("mean", "power")
+    every = modes.sparkSession.range((len(k) - 1) * (len(mu) - 1)).select((F.col("id") / (len(mu) - 1)).cast("int").alias("k_bin"), (F.col("id") % (len(mu) - 1)).cast("int").alias("mu_bin"))
+    mids = F.lit([float(a + b) / 2 for a, b in zip(k, k[1:])])
+    out = every.join(by_mu, ["k_bin", "mu_bin"], "left").join(by_k, "k_bin", "left")
+    return out.select("k_bin", "mu_bin", F.get(mids, F.col("k_bin")).alias("k_mid"), "k_avg", "power", F.coalesce("n_modes", F.lit(0).cast("long")).alias("n_modes"), *[f"pole_{p}" for p in poles])
+
+
 def power_spectrum(points: DataFrame, box: float, n: int, n_k: int, n_mu: int = 1, k_max: float | None = None, log: bool = False, poles: tuple[int, ...] = (0, 2, 4), kind: str = "tsc", compensated: bool = True, interlaced: bool = False, other: DataFrame | None = None, weight=None) -> DataFrame:
-    """k_bin, mu_bin, k_mid, k_avg, power, n_modes, pole_<l>: auto or, with other, cross spectrum."""
+    """k_bin, mu_bin, k_mid, k_avg, power, n_modes, pole_<l>: auto or, with other, cross spectrum, all of it as a plan over cells, lines and modes."""
     k, mu = k_mu_edges(n, box, k_max or math.pi * n / box, n_k, n_mu, log)
-    f = field_fft(points, n, box, kind, compensated, interlaced, weight)
-    g = f if other is None else field_fft(other, n, box, kind, compensated, interlaced, weight)
-    r = bin_modes((f * g.conj()).real * box**3, n, box, k, mu, poles)
-    rows = []
-    for i in range(n_k):
-        for j in range(n_mu):
-            extra = [float(r["poles"][p, i]) for p in range(len(poles))]
-            row = (float(k[i] + k[i + 1]) / 2, float(r["k_avg"][i, j]), float(r["power"][i, j]), int(r["n_modes"][i, j]), *extra)
-            rows.append((i, j, *(None if x != x else x for x in row)))  # a bin without modes has no mean
-    schema = "k_bin int, mu_bin int, k_mid double, k_avg double, power double, n_modes long" + "".join(f", pole_{p} double" for p in poles)
-    return points.sparkSession.createDataFrame(rows, schema)
+    f = field_modes(points, n, box, kind, compensated, interlaced, weight)
+    if other is None:
+        m = f.withColumn("p", transform.product(re2="re", im2="im") * box**3)
+    else:
+        g = field_modes(other, n, box, kind, compensated, interlaced, weight).select("ix", "iy", "iz", F.col("re").alias("re2"), F.col("im").alias("im2"))
+        m = f.join(g, ["ix", "iy", "iz"]).withColumn("p", transform.product() * box**3)
+    return binned_spectrum(m, "p", n, box, k, mu, poles)
 
 
 def xi_from_power(power: np.ndarray, n: int, box: float, edges: np.ndarray, poles: tuple[int, ...] = (0, 2)) -> dict[str, np.ndarray]:

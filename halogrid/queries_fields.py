@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from .functions.math import legendre
 from .operators import fields, mesh, modes, power, variates
 from .registry import query
 from .sources.adapters import BOX, halos
@@ -55,30 +56,35 @@ def _mode_sql(n: int) -> str:
 m AS (SELECT *, CASE WHEN i2 > 0 THEN (iz * iz)::DOUBLE / i2 ELSE 0 END AS mu2 FROM modes)"""
 
 
-# --- bins of modes: the value of a mode is a hash of its indices ---
+# --- modes of the halos' mesh ---
 
-_N, _STEP = 24, 2 * math.pi / BOX
-_K = [0.0, 0.02, 0.04, 0.07]
+_N, _STEP = 16, 2 * math.pi / BOX
+_K = [0.0, 0.012, 0.024, 0.045]
 _MU = [0.0, 0.3, 0.6, 1.0]
-_VALUE = "(ix * 7 + iy * 13 + iz * 29) % 101"
 
 
-def _modes(spark):
-    return modes.mode_table(spark, _N).withColumn("v", F.expr(f"cast({_VALUE} as double)"))
+def _field_sql(n: int) -> str:
+    """CTEs up to f: modes with re, im and p, the power of the halos' overdensity in units of the box."""
+    return f"""{_tsc_sql(n)}, {_forward_sql(n)}, {_mode_sql(n)},
+f AS (SELECT m.*, re / {float(n) ** 3!r}::DOUBLE AS re, im / {float(n) ** 3!r}::DOUBLE AS im, (re * re + im * im) / {float(n) ** 6!r}::DOUBLE AS p FROM m JOIN fk ON x = ix AND y = iy AND z = iz)"""
+
+
+def _modes(spark, d):
+    return power.field_modes(halos(spark, d), _N, BOX, compensated=False).withColumn("p", F.expr("re * re + im * im"))
 
 
 _KB, _MB = _bins_sql("i2", [(e / _STEP) ** 2 for e in _K]), _bins_sql("mu2", [e * e for e in _MU])
 
 
-@query(f"WITH {_mode_sql(_N)}, b AS (SELECT *, {_KB} AS k_bin, coalesce({_MB}, {len(_MU) - 2}) AS mu_bin FROM m) SELECT k_bin, mu_bin, sum(w)::BIGINT AS n_modes, round(sum(w * ({_VALUE})) / sum(w), 9) AS mean, round(sum(w * sqrt(i2) * {_STEP!r}::DOUBLE) / sum(w), 9) AS k_avg FROM b WHERE k_bin IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {_field_sql(_N)}, b AS (SELECT *, {_KB} AS k_bin, coalesce({_MB}, {len(_MU) - 2}) AS mu_bin FROM f) SELECT k_bin, mu_bin, sum(w)::BIGINT AS n_modes, round(sum(w * p) / sum(w), 10) AS mean, round(sum(w * sqrt(i2) * {_STEP!r}::DOUBLE) / sum(w), 9) AS k_avg FROM b WHERE k_bin IS NOT NULL GROUP BY 1, 2", "h")
 def mode_bins_kmu(spark, d):
-    b = modes.bin_k_mu(_modes(spark), "v", _STEP, _K, _MU)
-    return b.select("k_bin", "mu_bin", "n_modes", F.round("mean", 9).alias("mean"), F.round("k_avg", 9).alias("k_avg"))
+    b = modes.bin_k_mu(_modes(spark, d), "p", _STEP, _K, _MU)
+    return b.select("k_bin", "mu_bin", "n_modes", F.round("mean", 10).alias("mean"), F.round("k_avg", 9).alias("k_avg"))
 
 
-@query(f"WITH {_mode_sql(_N)}, b AS (SELECT *, {_bins_sql('p2', [(e / _STEP) ** 2 for e in _K])} AS k_bin, {_bins_sql('iz * iz', [(0.06 * i / 4 / _STEP) ** 2 for i in range(5)])} AS pi_bin FROM m) SELECT k_bin, pi_bin, sum(w)::BIGINT AS n_modes, round(sum(w * ({_VALUE})) / sum(w), 9) AS mean FROM b WHERE k_bin IS NOT NULL AND pi_bin IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {_field_sql(_N)}, b AS (SELECT *, {_bins_sql('p2', [(e / _STEP) ** 2 for e in _K])} AS k_bin, {_bins_sql('iz * iz', [(0.04 * i / 4 / _STEP) ** 2 for i in range(5)])} AS pi_bin FROM f) SELECT k_bin, pi_bin, sum(w)::BIGINT AS n_modes, round(sum(w * p) / sum(w), 10) AS mean FROM b WHERE k_bin IS NOT NULL AND pi_bin IS NOT NULL GROUP BY 1, 2", "h")
 def mode_bins_kppi(spark, d):
-    return modes.bin_k_pi(_modes(spark), "v", _STEP, _K, 0.06, 4).withColumn("mean", F.round("mean", 9))
+    return modes.bin_k_pi(_modes(spark, d), "p", _STEP, _K, 0.04, 4).withColumn("mean", F.round("mean", 10))
 
 
 _TABLE = {0: [5.0, 4.0, 2.0, 1.0, 0.5], 2: [0.0, 1.0, 1.5, 1.0, 0.25], 4: [0.0, 0.125, 0.5, 0.25, 0.125]}
@@ -92,22 +98,32 @@ def _interp_sql(ys: list[float]) -> str:
     return f"CASE WHEN {k} <= {_XS[0]}::DOUBLE THEN {ys[0]}::DOUBLE WHEN {k} >= {_XS[-1]}::DOUBLE THEN {ys[-1]}::DOUBLE ELSE {t}[floor({f})::INT + 1] + ({f} - floor({f})) * ({t}[floor({f})::INT + 2] - {t}[floor({f})::INT + 1]) END"
 
 
-@query(f"WITH {_mode_sql(_N)} SELECT ix, iy, iz, round(({_interp_sql(_TABLE[0])}) + ({_interp_sql(_TABLE[2])}) * (1.5::DOUBLE * mu2 - 0.5::DOUBLE) + ({_interp_sql(_TABLE[4])}) * (4.375::DOUBLE * mu2 * mu2 - 3.75::DOUBLE * mu2 + 0.375::DOUBLE), 9) AS power FROM m")
+@query(
+    f"""WITH {_field_sql(_N)}, e AS (SELECT *, ({_interp_sql(_TABLE[0])}) + ({_interp_sql(_TABLE[2])}) * (1.5::DOUBLE * mu2 - 0.5::DOUBLE) + ({_interp_sql(_TABLE[4])}) * (4.375::DOUBLE * mu2 * mu2 - 3.75::DOUBLE * mu2 + 0.375::DOUBLE) AS model FROM f)
+SELECT ix, iy, iz, round(model, 9) AS power, round(p - model / 1e6::DOUBLE, 10) + 0.0::DOUBLE AS excess FROM e""",
+    "h",
+)
 def pole_expand_linear_interp(spark, d):
-    return modes.expand_poles(modes.mode_table(spark, _N), _STEP, _XS, _TABLE).select("ix", "iy", "iz", F.round("power", 9).alias("power"))
+    """A model's multipoles at each mode of the halos' mesh, and the mode's power beyond them."""
+    m = modes.expand_poles(_modes(spark, d), _STEP, _XS, _TABLE)
+    return m.select("ix", "iy", "iz", F.round("power", 9).alias("power"), (F.round(F.col("p") - F.col("power") / 1e6, 10) + 0.0).alias("excess"))
 
 
-@query(f"WITH {_mode_sql(_N)} SELECT ix, iy, iz, round(({_VALUE}) * mu2, 9) AS v FROM m")
+@query(f"WITH {_field_sql(_N)} SELECT ix, iy, iz, round(re * mu2, 9) + 0.0::DOUBLE AS re, round(im * mu2, 9) + 0.0::DOUBLE AS im FROM f", "h")
 def delta_mu2(spark, d):
-    return modes.delta_mu2(_modes(spark), "v").select("ix", "iy", "iz", F.round("v", 9).alias("v"))
+    m = modes.delta_mu2(_modes(spark, d), "re", "im")
+    return m.select("ix", "iy", "iz", *[(F.round(c, 9) + 0.0).alias(c) for c in ("re", "im")])
 
 
-@query(f"WITH {_mode_sql(_N)} SELECT ix, iy, iz, round(exp(-i2 * {_STEP * _STEP * 40.0 * 40.0 / 2!r}::DOUBLE), 9) AS s FROM m")
+@query(f"WITH {_field_sql(_N)}, s AS (SELECT *, exp(-i2 * {_STEP * _STEP * 40.0 * 40.0 / 2!r}::DOUBLE) AS s FROM f) SELECT ix, iy, iz, round(re * s, 9) + 0.0::DOUBLE AS re, round(im * s, 9) + 0.0::DOUBLE AS im FROM s", "h")
 def mode_smoothing(spark, d):
-    return modes.mode_table(spark, _N).select("ix", "iy", "iz", F.round(modes.smoothing(_STEP, 40.0), 9).alias("s"))
+    s = modes.smoothing(_STEP, 40.0)
+    return _modes(spark, d).select("ix", "iy", "iz", *[(F.round(F.col(c) * s, 9) + 0.0).alias(c) for c in ("re", "im")])
 
 
-_KIN = [0.004 + 0.004 * i for i in range(17)]
+_KIN = [0.004 + 0.004 * i for i in range(11)]
+#: Bins around the input wave numbers.
+_AROUND = [0.002 + 0.004 * i for i in range(12)]
 _LEG = {0: "1::DOUBLE", 2: "(1.5::DOUBLE * mu2 - 0.5::DOUBLE)", 4: "(4.375::DOUBLE * mu2 * mu2 - 3.75::DOUBLE * mu2 + 0.375::DOUBLE)"}
 
 
@@ -121,15 +137,22 @@ def _window_sql() -> str:
     rows = ", ".join(f"({i}, {k!r}::DOUBLE, {float(k * k * w)!r}::DOUBLE)" for i, (k, w) in enumerate(zip(_KIN, widths)))
     pairs = " UNION ALL ".join(f"SELECT k_bin, {a} AS l, {b} AS lp, sum(w * {2 * a + 1} * {_LEG[a]} * {_LEG[b]}) / sum(w) AS s FROM o GROUP BY k_bin" for a in _LEG for b in _LEG)
     k = f"(sqrt(i2) * {_STEP!r}::DOUBLE)"
-    return f"""WITH {_mode_sql(_N)}, o AS (SELECT *, {_left_bins_sql(k, _K)} AS k_bin FROM m WHERE iz < {_N // 2}), s AS ({pairs}), e AS (SELECT k_bin, sum(w * {k}) / sum(w) AS k_eff FROM o GROUP BY k_bin),
-i AS (SELECT i_in, weight, {_left_bins_sql('k', _K)} AS k_bin FROM (VALUES {rows}) t(i_in, k, weight)), q AS (SELECT k_bin, i_in, weight / sum(weight) OVER (PARTITION BY k_bin) AS share FROM i WHERE k_bin IS NOT NULL)
-SELECT l, k_bin, lp, i_in, round(s * share, 9) + 0.0::DOUBLE AS "window", round(k_eff, 9) AS k_eff FROM s JOIN e USING (k_bin) JOIN q USING (k_bin) WHERE k_bin IS NOT NULL"""
+    fine = " UNION ALL ".join(f"SELECT i_in, {a} AS lp, sum(w * p * {2 * a + 1} * {_LEG[a]}) / sum(w) AS pole FROM v WHERE i_in IS NOT NULL GROUP BY i_in" for a in _LEG)
+    return f"""WITH {_field_sql(_N)}, o AS (SELECT *, {_left_bins_sql(k, _K)} AS k_bin FROM m WHERE iz < {_N // 2}), s AS ({pairs}), e AS (SELECT k_bin, sum(w * {k}) / sum(w) AS k_eff FROM o GROUP BY k_bin),
+i AS (SELECT i_in, weight, {_left_bins_sql('k', _K)} AS k_bin FROM (VALUES {rows}) t(i_in, k, weight)), q AS (SELECT k_bin, i_in, weight / sum(weight) OVER (PARTITION BY k_bin) AS share FROM i WHERE k_bin IS NOT NULL),
+v AS (SELECT *, {_bins_sql("i2", [(e / _STEP) ** 2 for e in _AROUND])} AS i_in FROM f), fine AS ({fine})
+SELECT l, k_bin, round(sum(s * share * pole), 9) + 0.0::DOUBLE AS power, round(max(k_eff), 9) AS k_eff FROM s JOIN e USING (k_bin) JOIN q USING (k_bin) JOIN fine USING (lp, i_in) WHERE k_bin IS NOT NULL GROUP BY l, k_bin"""
 
 
-@query(_window_sql())
+@query(_window_sql(), "h")
 def window_matrix(spark, d):
+    """The halos' multipoles around the input wave numbers, through the mode coupling of the box."""
     m = modes.window_matrix(spark, _N, BOX, _K, _KIN)
-    return m.select("l", "k_bin", "lp", "i_in", (F.round("window", 9) + 0.0).alias("window"), F.round("k_eff", 9).alias("k_eff"))
+    v = modes.bin_k(_modes(spark, d), _STEP, _AROUND)
+    fine = v.groupBy(F.col("k_bin").alias("i_in")).agg(*[(F.sum(F.col("w") * F.col("p") * (2 * a + 1) * (F.lit(1.0) if a == 0 else legendre(modes.mu2(), a))) / F.sum("w")).alias(str(a)) for a in _LEG])
+    fine = fine.unpivot("i_in", [str(a) for a in _LEG], "lp", "pole").withColumn("lp", F.col("lp").cast("int"))
+    out = m.join(fine, ["lp", "i_in"]).groupBy("l", "k_bin").agg(F.sum(F.col("window") * F.col("pole")).alias("power"), F.max("k_eff").alias("k_eff"))
+    return out.select("l", "k_bin", (F.round("power", 9) + 0.0).alias("power"), F.round("k_eff", 9).alias("k_eff"))
 
 
 # --- transforms ---
@@ -222,24 +245,36 @@ def _spectra(spark, d, n=16, n_k=8):
     return (edges[1:] + edges[:-1]) / 2, edges, pairs, cross
 
 
+def _smoothed(k, spectra):
+    """Spectra without their scatter, in the place of ensemble means: polynomials fitted to windows of each multipole."""
+    return {key: np.stack([variates.smooth(np.nan_to_num(p), _FIT) for p in np.atleast_2d(poles)]) for key, poles in spectra.items()}
+
+
+#: Cells a side and wave numbers of the spectra: a bin for each step, and more bins than the window that smooths beta; wave numbers of a fit.
+_CELLS, _BINS, _FIT = 64, 32, 11
+
+
 @query()
 def zcv_apply(spark, d):
-    k, _, pairs, cross = _spectra(spark, d)
+    k, _, pairs, cross = _spectra(spark, d, _CELLS, _BINS)
     pairs, measured = {key: r["poles"] for key, r in pairs.items()}, cross["tr", "tr"]["poles"]
     crosses = {a: r["poles"] for (a, b), r in cross.items() if a != "tr"}
-    got = variates.zeldovich_variate(k, (pairs, crosses, measured), (pairs, crosses, measured), pairs, 5, 0.04, window=None, one_below=0.01)
-    return spark.createDataFrame([(float(x), *map(float, got["reduced"][:, i]), *map(float, got["rho"][:, i])) for i, x in enumerate(k)], "k double, p0 double, p2 double, p4 double, rho0 double, rho2 double, rho4 double")
+    got = variates.zeldovich_variate(k, (pairs, crosses, measured), (pairs, crosses, measured), _smoothed(k, pairs), 5, 0.15, window=None)
+    names = [f"{n}{ell}" for n in ("measured", "p", "rho") for ell in (0, 2, 4)]
+    return spark.createDataFrame([(float(x), *(float(v) for t in (measured, got["reduced"], got["rho"]) for v in t[:, i])) for i, x in enumerate(k)], "k double, " + ", ".join(f"{n} double" for n in names))
 
 
 @query()
 def lcv_apply(spark, d):
-    n, n_k = 16, 8
+    n = _CELLS
     delta = _density(spark, d, n)
-    edges = fields.default_edges(n, BOX, n_k)
+    edges = fields.default_edges(n, BOX, _BINS)
     k = (edges[1:] + edges[:-1]) / 2
     pairs = {key: r["poles"] for key, r in fields.linear_spectra(delta, BOX, edges).items()}
     fk = np.fft.rfftn(delta) / n**3
     half = halos(spark, d).select(*[(F.col(a) - BOX / 2).alias(a) for a in "xyz"])
     cross = fields.tracer_spectra(half, {"delta": fk, "deltamu2": fields.times_mu2(fk)}, n, BOX, 1.0, edges)
-    got = variates.linear_variate(k, pairs, {a: r["poles"] for (a, b), r in cross.items() if a != "tr"}, cross["tr", "tr"]["poles"], k, pairs["delta", "delta"][0], 1.0, 0.5, 0.04)
-    return spark.createDataFrame([(float(x), float(got["bias"]), *map(float, got["reduced"][:, i])) for i, x in enumerate(k)], "k double, bias double, p0 double, p2 double, p4 double")
+    measured, theory = cross["tr", "tr"]["poles"], _smoothed(k, {0: pairs["delta", "delta"]})[0][0]
+    got = variates.linear_variate(k, pairs, {a: r["poles"] for (a, b), r in cross.items() if a != "tr"}, measured, k, theory, 1.0, 0.5, 0.15)
+    names = [f"{n}{ell}" for n in ("measured", "p") for ell in (0, 2, 4)]
+    return spark.createDataFrame([(float(x), float(got["bias"]), *(float(v) for t in (measured, got["reduced"]) for v in t[:, i])) for i, x in enumerate(k)], "k double, bias double, " + ", ".join(f"{n} double" for n in names))
