@@ -58,6 +58,17 @@ def partition_starts(points: DataFrame, n_parts: int, box: float, axis: str = "x
     return every.withColumn("start", F.sum("n").over(W.orderBy("part")) - F.col("n"))  # as many rows as slabs
 
 
+def partitioned(points: DataFrame, n_parts: int, box: float, order: list[str], axis: str = "x") -> DataFrame:
+    """points with part, their slab of an axis, and place, their number in the table sorted by slab and then by `order`.
+
+    The rows of a slab stand from its start (partition_starts) on; order must be unique for a defined result.
+    """
+    from .ranks import ordered_index
+
+    part = F.least(F.floor(F.col(axis) * n_parts / box).cast("int"), F.lit(n_parts - 1))
+    return ordered_index(points.withColumn("part", part), ["part", *order], out="place")
+
+
 def pixel_counts(pixels: DataFrame, pixel: str = "pixel") -> DataFrame:
     return pixels.groupBy(F.col(pixel).alias("pixel")).agg(F.count("*").alias("n"))
 

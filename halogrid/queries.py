@@ -593,7 +593,10 @@ def hod_nfw_satellites(spark, d):
 
 @query()
 def lc_randoms(spark, d):
-    return sampling.random_shell(spark, 20_000, 300.0, 800.0, 11, octant=True).where(sampling.in_box(0, 700))
+    """Ten random points for each halo, in the shell that the halos of an octant of the box span."""
+    h = halos(spark, d).select(F.sqrt(F.expr("x * x + y * y + z * z")).alias("r")).where("r between 300 and 800")
+    span = h.agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).first()
+    return sampling.random_shell(spark, 10 * span.n, span.lo or 0.0, span.hi or 0.0, 11, octant=True).where(sampling.in_box(0, 700))
 
 
 from . import queries_fields, queries_more, queries_spatial  # noqa: E402, F401  they register more

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from .functions import decode
 from .functions.healpix import nested_pixel, ring_pixel
 from .operators import mesh, nearest, ranks
+from .plans import inference
 from .plans.mocks import Mocks
-from .queries import _D2, _PE, _PL, _PS, _PU, _SOME, _U, ELG, LRG, _drawn, _elg
+from .queries import _D2, _ERF, _PE, _PL, _PS, _PU, _SOME, _U, ELG, LRG, _drawn, _elg
 from .registry import query
 from .session import shared_folder
 from .sources import records, storage
@@ -121,3 +122,27 @@ def records_round_trip(spark, d):
     records.write_records(h, path, "rvint")
     r = records.read_records(spark, path, "rvint", ["rv_x", "row"], split_bytes=12_000)
     return r.select("row", decode.rvint_position(F.col("rv_x"), BOX).alias("x"), decode.rvint_velocity(F.col("rv_x")).alias("vx"))
+
+
+_ONE_CEN = "0.5::DOUBLE * (1 - " + _ERF.format(x="((cut - log10(mass)) / (1.41421356::DOUBLE * sigma))") + ")"
+
+
+@query(
+    f"""WITH o AS (SELECT DISTINCT owner AS sample, 12.5::DOUBLE + (owner % 50) / 50.0::DOUBLE AS cut, 0.2::DOUBLE + (owner % 7) / 20.0::DOUBLE AS sigma, 13.5::DOUBLE + (owner % 11) / 10.0::DOUBLE AS m1 FROM halos),
+w AS (SELECT mass, count(*) AS k FROM halos GROUP BY 1),
+e AS (SELECT sample, mass, k, {_ONE_CEN} AS c, CASE WHEN mass > 0.4::DOUBLE * pow(10.0::DOUBLE, cut) THEN pow((mass - 0.4::DOUBLE * pow(10.0::DOUBLE, cut)) / pow(10.0::DOUBLE, m1), 1.0::DOUBLE) ELSE 0 END AS s FROM o, w)
+SELECT sample, round(sum(k * c * 0.9::DOUBLE), 4) AS n_cent, round(sum(k * s * c * 0.9::DOUBLE), 4) AS n_sat FROM e GROUP BY 1""",
+    "h",
+)
+def expected_numbers_many(spark, d):
+    """A parameter set for each owner of halos, all of them in one pass."""
+    h = halos(spark, d)
+    o = F.col("owner")
+    samples = h.select("owner").distinct().select(o.alias("sample"), (F.lit(12.5) + o % 50 / 50).alias("logm_cut"), (F.lit(0.2) + o % 7 / 20).alias("sigma"), (F.lit(13.5) + o % 11 / 10).alias("logm1"))
+    got = inference.expected_numbers(h, samples, "LRG", LRG)
+    return got.select("sample", F.round("n_cent", 4).alias("n_cent"), F.round("n_sat", 4).alias("n_sat"))
+
+
+@query("WITH q AS (SELECT id, least(floor(x * 16 / 1000.0::DOUBLE)::INT, 15) AS part, x FROM halos) SELECT id, part, (row_number() OVER (ORDER BY part, x, id) - 1)::BIGINT AS place FROM q", "h")
+def partition_rows(spark, d):
+    return mesh.partitioned(halos(spark, d).select("id", "x"), 16, BOX, ["x", "id"]).select("id", "part", "place")
