@@ -39,14 +39,14 @@ def bin_k(modes: DataFrame, step: float, k_edges: list[float]) -> DataFrame:
     return modes.withColumn("k_bin", bin_index(F.col("i2").cast("double"), _squares(k_edges, step), "right")).where("k_bin is not null")
 
 
-def bin_k_mu(modes: DataFrame, value: str, step: float, k_edges: list[float], mu_edges: list[float]) -> DataFrame:
-    """k_bin, mu_bin, n_modes, mean, k_avg of the bins that have modes; step is the width of a mode.
+def bin_k_mu(modes: DataFrame, value: str, step: float, k_edges: list[float], mu_edges: list[float], **more: Column) -> DataFrame:
+    """k_bin, mu_bin, n_modes, mean, k_avg and the means of more of the bins that have modes; step is the width of a mode.
 
     Bins are open below and closed above, the first closed; nothing at or over the last k edge.
     """
     m = F.least(F.coalesce(bin_index(mu2(), [e * e for e in mu_edges], "right"), F.lit(len(mu_edges) - 2)), F.lit(len(mu_edges) - 2))
     d = bin_k(modes, step, k_edges).withColumn("mu_bin", m)
-    return _means(d, ["k_bin", "mu_bin"], value, k_avg=F.sqrt("i2") * step)
+    return _means(d, ["k_bin", "mu_bin"], value, k_avg=F.sqrt("i2") * step, **more)
 
 
 def bin_k_pi(modes: DataFrame, value: str, step: float, k_edges: list[float], pi_max: float, n_pi: int) -> DataFrame:

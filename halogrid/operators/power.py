@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.math import legendre
@@ -97,17 +98,18 @@ def field_modes(points: DataFrame, n: int, box: float, kind: str = "tsc", compen
 
 def binned_spectrum(modes: DataFrame, value: str, n: int, box: float, k: np.ndarray, mu: np.ndarray, poles: tuple[int, ...]) -> DataFrame:
     """k_bin, mu_bin, k_mid, k_avg, power, n_modes, pole_<l> of every bin; a bin without modes has no means."""
-    from .modes import bin_k, bin_k_mu, mu2
+    from .modes import bin_k_mu, mu2
 
     step = 2 * math.pi / box
-    d = bin_k(modes, step, list(map(float, k)))
     legs = {p: F.lit(1.0) if p == 0 else legendre(mu2(), p) for p in poles}
-    by_k = d.groupBy("k_bin").agg(*[(F.sum(F.col("w") * F.col(value) * (2 * p + 1) * leg) / F.sum("w")).alias(f"pole_{p}") for p, leg in legs.items()], F.count("*").alias("_n"))
-    by_mu = bin_k_mu(modes, value, step, list(map(float, k)), list(map(float, mu))).withColumnRenamed("mean", "power")
+    sums = {f"_pole_{p}": F.col(value) * (2 * p + 1) * leg for p, leg in legs.items()}
+    found = bin_k_mu(modes, value, step, list(map(float, k)), list(map(float, mu)), **sums)  # the modes are read once
     every = modes.sparkSession.range((len(k) - 1) * (len(mu) - 1)).select((F.col("id") / (len(mu) - 1)).cast("int").alias("k_bin"), (F.col("id") % (len(mu) - 1)).cast("int").alias("mu_bin"))
     mids = F.lit([float(a + b) / 2 for a, b in zip(k, k[1:])])
-    out = every.join(by_mu, ["k_bin", "mu_bin"], "left").join(by_k, "k_bin", "left")
-    return out.select("k_bin", "mu_bin", F.get(mids, F.col("k_bin")).alias("k_mid"), "k_avg", "power", F.coalesce("n_modes", F.lit(0).cast("long")).alias("n_modes"), *[f"pole_{p}" for p in poles])
+    out = every.join(found.withColumnRenamed("mean", "power"), ["k_bin", "mu_bin"], "left")
+    of_k = W.partitionBy("k_bin")  # a row for each mu bin
+    means = [(F.sum(F.col("n_modes") * F.col(f"_pole_{p}")).over(of_k) / F.sum("n_modes").over(of_k)).alias(f"pole_{p}") for p in poles]
+    return out.select("k_bin", "mu_bin", F.get(mids, F.col("k_bin")).alias("k_mid"), "k_avg", "power", F.coalesce("n_modes", F.lit(0).cast("long")).alias("n_modes"), *means)
 
 
 def power_spectrum(points: DataFrame, box: float, n: int, n_k: int, n_mu: int = 1, k_max: float | None = None, log: bool = False, poles: tuple[int, ...] = (0, 2, 4), kind: str = "tsc", compensated: bool = True, interlaced: bool = False, other: DataFrame | None = None, weight=None) -> DataFrame:
