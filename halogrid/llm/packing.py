@@ -12,6 +12,8 @@ import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -230,134 +232,154 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-#: Search parameters of the packing: nodes of the tree, fillings of a node, and steps in search of each of them.
-NODES, BRANCH, STEPS = 20_000, 12, 40
+#: Steps of the search (sizes tried for a filling), its only limit: some ten seconds on the driver.
+STEPS = 5_000_000
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, least: int, limit: int, steps_each: int = STEPS) -> list[tuple[int, ...]]:
-    """Undominated sets of sizes (ascending list) whose sum is from least to room, least waste first.
+class _Enough(Exception):
+    """The steps are used up."""
 
-    A set is dominated if one of its sizes can be exchanged for a larger one that still fits, or two together for a
-    single one as large or larger; sets are built from the largest size down and dropped at the first such exchange.
-    The search ends after `limit` sets or steps_each * limit steps, so better sets may be missed.
+
+def reachable(sizes: list[int], capacity: int) -> list[int]:
+    """For each of the ascending sizes, as bits, the sums up to capacity of it and smaller ones, any number of each."""
+    out, bits, mask = [], 1, (1 << capacity + 1) - 1
+    for s in sizes:
+        by = s
+        while by <= capacity:
+            bits |= bits << by & mask
+            by *= 2
+        out.append(bits)
+    return out
+
+
+def fillings(sizes: list[int], sums: list[int], left: dict[int, int], top: int, capacity: int, spare: Callable[[], int], after: tuple[int, ...] | None, spend: Callable[[], None]) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings around one piece of size top, one at a time: least waste first, then larger sizes first.
+
+    A filling is dominated if another piece fits beside it, if one of its sizes can be exchanged for a larger one that
+    still fits, or two together for a single one as large or larger.  What dominates comes earlier in the order.  Only
+    fillings behind `after` are listed, and none that waste more than spare() at that time.
     """
-    out: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def go(left: int, top: int, chosen: tuple[int, ...], used: int) -> None:
-        nonlocal steps
-        steps += 1
-        i = bisect_right(sizes, min(left, top))
-        if i and chosen and sizes[i - 1] == chosen[-1] and chosen.count(chosen[-1]) >= counts[chosen[-1]]:
-            i -= 1
-        if not i:  # nothing more fits: maximal
-            if used >= least and not dominated(chosen, left):
-                out.append((left, chosen))
-            return
-        for j in range(i - 1, -1, -1):
-            s = sizes[j]
-            if len(out) >= limit or steps > steps_each * limit:
-                return
-            # Waste bound: nothing below can fill up to least if even the largest left cannot.
-            more = left - s
-            if s * (left // s) + used < least and j == 0:
-                return
-            go(more, s, (*chosen, s), used + s)
-            if more == 0:
-                break  # an exact single end dominates all smaller ones here
-
-    def exchanged(chosen: tuple[int, ...], low: int, high: int) -> bool:
-        k = bisect_right(sizes, high)
-        while k and sizes[k - 1] >= low:
-            if chosen.count(sizes[k - 1]) < counts[sizes[k - 1]]:
+    chosen: dict[int, int] = {}
+
+    def free(low: int, high: int) -> bool:
+        k = bisect_right(sizes, high) - 1
+        while k >= 0 and sizes[k] >= low:
+            if left[sizes[k]] > chosen.get(sizes[k], 0) + (sizes[k] == top):
                 return True
             k -= 1
         return False
 
-    def dominated(chosen: tuple[int, ...], waste: int) -> bool:
-        alone = sorted(set(chosen))
-        if any(exchanged(chosen, x + 1, x + waste) for x in alone):
-            return True
-        two = {x + y for i, x in enumerate(alone) for y in alone[i + 1 :]} | {2 * x for x in alone if chosen.count(x) > 1}
-        return any(exchanged(chosen, x, x + waste) for x in two)
+    def go(rest: int, j: int, waste: int) -> Iterator[tuple[int, ...]]:
+        if rest == 0:
+            if not free(1, waste):
+                yield (top, *(s for s, n in chosen.items() for _ in range(n)))
+            return
+        j = min(j, bisect_right(sizes, rest) - 1)
+        while j >= 0 and sums[j] >> rest & 1:
+            s = sizes[j]
+            spend()
+            most = min(left[s] - (s == top), rest // s)
+            # Sizes over s are settled, so these exchanges are known now.
+            if most > 0 and not free(s + 1, s + waste) and not any(free(s + x, s + x + waste) for x in chosen):
+                if most > 1 and free(2 * s, 2 * s + waste):
+                    most = 1
+                below = sums[j - 1] if j else 1
+                for n in range(most, 0, -1):
+                    if below >> rest - n * s & 1:
+                        chosen[s] = n
+                        yield from go(rest - n * s, j - 1, waste)
+                        del chosen[s]
+            j -= 1
+
+    room = capacity - top
+    for waste in range(0 if after is None else capacity - sum(after), room + 1):
+        if waste > spare():
+            return
+        spend()
+        for f in go(room - waste, len(sizes) - 1, waste):
+            if after is None or waste > capacity - sum(after) or f < after:
+                yield f
 
-    go(room, room, (), 0)
-    out.sort(key=lambda x: (x[0], len(x[1]), [-s for s in x[1]]))
-    return [c for _, c in out]
 
+@dataclass
+class Packing:
+    """Fillings and how often each is used; how many bins these are, how many any packing needs, whether fewer are ruled out."""
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, branch: int = BRANCH) -> list[tuple[tuple[int, ...], int]]:
-    """Branch and bound over completions of the largest size left, on a histogram {size: count}: (filling, times).
+    plan: list[tuple[tuple[int, ...], int]]
+    bins: int
+    bound: int
+    optimal: bool
 
-    The incumbent starts as best-fit decreasing and is replaced by every better complete solution; a branch ends where
-    its bins and the bound on the rest (their sum, with the waste so far) cannot beat the incumbent.  The search stops
-    at the lower bound, at the end of the tree or after `nodes` nodes.  The tree is not whole: a node has at most
-    `branch` fillings, and each is used as often as the counts allow.  A plan of as many bins as lower_bound() is
-    the best there is; of any other one this is not known.
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Packing:
+    """Branch and bound over completions of the largest size left, on a histogram {size: count}.
+
+    The incumbent starts as best-fit decreasing and is replaced by every better solution, best fit of what a branch leaves
+    among them; a branch ends where its bins and the bound on the rest (their sum, with the waste so far) cannot beat the
+    incumbent.  A node has every undominated filling as a branch, used as often as the counts allow, and then less and
+    less often; bins of one largest size come in the order of fillings(), so none is met twice.  The tree is whole: the
+    result is optimal if the bound is met or the tree ends within `steps`, which is its only limit.
     """
-    counts = {s: n for s, n in counts.items() if n}
-    if not counts:
-        return []
-    best = best_fit(counts, capacity)
+    left = {s: n for s, n in counts.items() if n}
+    best = best_fit(left, capacity)
     used = sum(t for _, t in best)
-    bound = lower_bound(counts, capacity)
-    left, sizes = dict(counts), sorted(counts)
+    bound = lower_bound(left, capacity) if left else 0
+    sizes = sorted(left)
+    sums = reachable(sizes, capacity) if used > bound else []
     total = sum(s * n for s, n in left.items())
-    # One entry a level: options not yet tried, and what was taken.
-    stack: list[list] = []
-    bins = waste = seen = 0
-
-    def options() -> list[tuple[int, ...]]:
-        top = sizes[-1]
-        left[top] -= 1
-        spare = (used - 1) * capacity - total_all - waste  # waste that a better solution may still have
-        out = fillings([s for s in sizes if left[s]] if left[top] == 0 else sizes, left, capacity - top, max(0, capacity - top - max(0, spare)), branch)
-        left[top] += 1
-        if not out and spare >= capacity - top:
-            out = [()]
-        return [(top, *f) for f in out]
-
-    total_all = total
-    if used > bound:
-        stack.append([options(), None, 0])
-        while stack and seen < nodes and used > bound:
-            todo, taken, times = stack[-1]
-            if taken:  # undo
-                for s in taken:
-                    if not left[s]:
-                        insort(sizes, s)
-                    left[s] += times
-                bins -= times
-                waste -= times * (capacity - sum(taken))
-                total += times * sum(taken)
-                stack[-1][1] = None
-            if not todo:
+    bins = waste = seen = spent = 0
+
+    def spend() -> None:
+        nonlocal spent
+        spent += 1
+        if spent > steps:
+            raise _Enough
+
+    def spare() -> int:
+        """Waste that a better solution may still have."""
+        return (used - 1) * capacity - total - waste
+
+    def branches(top: int, after: tuple[int, ...] | None) -> Iterator[tuple[tuple[int, ...], int]]:
+        for f in fillings(sizes, sums, left, top, capacity, spare, after, spend):
+            for times in range(min(left[s] // n for s, n in Counter(f).items()), 0, -1):
+                if times * (capacity - sum(f)) <= spare():
+                    yield f, times
+
+    # A level: its branches not yet tried, and the one that is taken.
+    stack: list[list] = [[branches(sizes[-1], None), None]] if used > bound else []
+
+    def take(f: tuple[int, ...], times: int) -> None:
+        nonlocal bins, waste
+        for s, n in Counter(f).items():
+            left[s] -= times * n
+        bins += times
+        waste += times * (capacity - sum(f))
+
+    try:
+        while stack and used > bound:
+            level = stack[-1]
+            if level[1]:
+                take(level[1][0], -level[1][1])
+                level[1] = None
+            spend()
+            level[1] = next(level[0], None)
+            if level[1] is None:
                 stack.pop()
                 continue
-            f = todo.pop(0)
-            need = Counter(f)
-            times = min(left[s] // n for s, n in need.items())
-            for s, n in need.items():
-                left[s] -= times * n
-                if not left[s]:
-                    sizes.pop(bisect_left(sizes, s))
-            bins += times
-            waste += times * (capacity - sum(f))
-            total -= times * sum(f)
-            stack[-1][1], stack[-1][2] = f, times
+            f, times = level[1]
+            take(f, times)
             seen += 1
-            if not sizes:
-                if bins < used:
-                    used, best = bins, [(t, n) for _, t, n in stack if t]
-            elif bins + -(-total // capacity) < used:
-                rest_best = None
-                if seen % 64 == 1:  # best fit of the rest makes an incumbent early
-                    rest_best = best_fit({s: left[s] for s in sizes}, capacity)
-                    if bins + sum(t for _, t in rest_best) < used:
-                        used = bins + sum(t for _, t in rest_best)
-                        best = [(t, n) for _, t, n in stack if t] + rest_best
-                stack.append([options(), None, 0])
-    return best
+            rest = {s: left[s] for s in sizes if left[s]}
+            if not rest or seen % 64 == 1:
+                ending = best_fit(rest, capacity)
+                if bins + sum(t for _, t in ending) < used:
+                    used = bins + sum(t for _, t in ending)
+                    best = [x for _, x in stack] + ending
+            if rest and spare() >= 0:
+                stack.append([branches(max(rest), f if left[f[0]] else None), None])
+    except _Enough:
+        return Packing(best, used, bound, False)
+    return Packing(best, used, bound, True)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
@@ -369,7 +391,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None =
     spark = pieces.sparkSession
     scratch = scratch or Scratch(spark)
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    plan = bin_completion(counts, capacity)
+    plan = bin_completion(counts, capacity).plan
     slots, base, taken = [], 0, Counter()
     for filling, times in plan:
         offset = 0

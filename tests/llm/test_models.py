@@ -123,5 +123,5 @@ def test_packing_between_the_bound_and_best_fit():
     r = random.Random(10)
     for _ in range(30):
         counts = {r.randint(1, 100): r.randint(1, 60) for _ in range(r.randint(1, 25))}
-        plan = bin_completion(counts, 100, nodes=500)
-        assert lower_bound(counts, 100) <= sum(t for _, t in plan) <= sum(t for _, t in best_fit(counts, 100))
+        found = bin_completion(counts, 100, steps=20_000)
+        assert found.bound == lower_bound(counts, 100) <= sum(t for _, t in found.plan) == found.bins <= sum(t for _, t in best_fit(counts, 100))
