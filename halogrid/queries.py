@@ -599,6 +599,6 @@ def lc_randoms(spark, d):
     return sampling.random_shell(spark, 10 * span.n, span.lo or 0.0, span.hi or 0.0, 11, octant=True).where(sampling.in_box(0, 700))
 
 
-from . import queries_fields, queries_more, queries_spatial  # noqa: E402, F401  they register more
+from . import queries_catalog, queries_fields, queries_more, queries_spatial  # noqa: E402, F401  they register more
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
