@@ -12,6 +12,7 @@ from ..operators import hod
 from ..operators.neighbors import environment_mass, multipole, projected, xi_rp_pi, xi_s_mu
 from ..operators.power import power_spectrum
 from ..operators.ranks import rank_in_bins
+from ..session import checkpointed
 from ..sources.storage import Stored
 
 
@@ -21,7 +22,7 @@ def prepare(halos: DataFrame, box: float, mass_edges: list[float], r_inner: floa
     Write the result (sinks.write_prepared) and stage what is read back: its plan is long, and every statistic of every mock
     would analyse and run it again.
     """
-    env = environment_mass(halos, r_inner, r_outer, box, m_cut)
+    env = checkpointed(environment_mass(halos, r_inner, r_outer, box, m_cut))  # the ranks read it several times
     h = halos.join(env, "id")
     h = rank_in_bins(h, "menv", "mass", mass_edges, "id", "fenv")
     if "conc" in h.columns:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import decode
 from .functions import math as fm
 from .operators import hod, mesh, neighbors, power, ranks, sampling, variates
+from .plans import mocks
 from .registry import ORACLE_SQL, QUERIES, query
 from .sources import catalog
 from .sources.adapters import BOX, halos, particles, unit
@@ -299,19 +300,20 @@ def _rank_sql(value: str) -> str:
 SELECT id, CASE WHEN b IS NULL OR c = 1 THEN 0.0::DOUBLE ELSE round(k::DOUBLE / (c - 1)::DOUBLE - 0.5::DOUBLE, 9) END AS rank FROM r"""
 
 
-def _rank(spark, d, value):
-    h = halos(spark, d).select("id", "mass", F.expr(value).alias("v"))
-    return ranks.rank_in_bins(h, "v", "mass", MASS_EDGES, "id").select("id", F.round("rank", 9).alias("rank"))
+_CONC = "((16000 + id * 17 % 16000)::DOUBLE * (n / 1e6::DOUBLE) / 32000.0::DOUBLE * 1000.0::DOUBLE) / ((1 + id * 13 % 16000)::DOUBLE * (n / 1e6::DOUBLE) / 32000.0::DOUBLE * 1000.0::DOUBLE)"
 
 
-@query(_rank_sql("id * 7907 % 99991"), "h")
-def fenv_rank(spark, d):
-    return _rank(spark, d, "id * 7907 % 99991")
+def _concentration(spark, d):
+    """halos with conc, the ratio of two decoded radii."""
+    r100 = F.col("n") / 1e6
+    r98, r25 = (decode.ratio(F.expr(f"cast({word} as short)"), r100, BOX) for word in ("16000 + id * 17 % 16000", "1 + id * 13 % 16000"))
+    return halos(spark, d).withColumn("conc", r98 / r25)
 
 
-@query(_rank_sql("id * 13 % 1009"), "h")
+@query(_rank_sql(_CONC), "h")
 def deltac_rank(spark, d):
-    return _rank(spark, d, "id * 13 % 1009")
+    h = _concentration(spark, d).select("id", "mass", "conc")
+    return ranks.rank_in_bins(h, "conc", "mass", MASS_EDGES, "id").select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(_rank_sql("(floor(x / 100)::BIGINT * 49 + floor(y / 100)::BIGINT * 7 + floor(z / 100)::BIGINT) * 31 % 343"), "h")
@@ -366,6 +368,17 @@ def menv_two_apertures(spark, d):
     return neighbors.environment_mass(h, 30.0, 80.0, BOX, 1000).select("id", "menv")
 
 
+@query(
+    f"""WITH {_SOME}, {_D2}, e AS (SELECT s.id, s.mass, coalesce(sum(bn) FILTER (px * px + py * py + pz * pz <= 6400 AND px * px + py * py + pz * pz > 900 AND an > 1000), 0)::BIGINT AS menv FROM s LEFT JOIN d3 ON s.id = d3.i GROUP BY ALL),
+b AS (SELECT id, menv AS v, {_BIN} AS b FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY v, id) - 1 AS k, count(*) OVER (PARTITION BY b) AS c FROM b)
+SELECT id, CASE WHEN b IS NULL OR c = 1 THEN 0.0::DOUBLE ELSE round(k::DOUBLE / (c - 1)::DOUBLE - 0.5::DOUBLE, 9) END AS rank FROM r""",
+    "h",
+)
+def fenv_rank(spark, d):
+    """Halos as they are prepared for mocks: the rank of the mass around each."""
+    return mocks.prepare(halos(spark, d), BOX, MASS_EDGES, 30.0, 80.0, 2.0e12).select("id", F.round("fenv", 9).alias("rank"))
+
+
 _EDGES = [5.0, 20.0, 40.0, 80.0]
 _R2 = "px * px + py * py + pz * pz"
 _SBIN = "CASE " + " ".join(f"WHEN {_R2} >= {a * a}::DOUBLE AND {_R2} < {b * b}::DOUBLE THEN {i}" for i, (a, b) in enumerate(zip(_EDGES, _EDGES[1:]))) + " END"
@@ -565,10 +578,10 @@ def subsample_halos_prob(spark, d):
     return sampling.subsample_halos(h, F.col("u"), False).select("id", F.round("multi", 6).alias("multi"))
 
 
-@query("WITH r AS (SELECT halo_id, pid, price, row_number() OVER (PARTITION BY halo_id ORDER BY pid * 7919 % 10007, pid, price) AS k, n % 4 AS want FROM particles JOIN halos ON halo_id = id) SELECT halo_id, pid, price FROM r WHERE k <= want", "hp")
+@query("WITH r AS (SELECT halo_id, pid, price, row_number() OVER (PARTITION BY halo_id ORDER BY pid * 7919 % 10007, pid, price) AS k, CASE WHEN mass < 1e11::DOUBLE THEN 0 ELSE least(n, least(floor(1 + 1.5::DOUBLE * pow(10.0::DOUBLE, log10(mass) - 12.5::DOUBLE)), 100)) END AS want FROM particles JOIN halos ON halo_id = id) SELECT halo_id, pid, price FROM r WHERE k <= want", "hp")
 def submask_particles_topn(spark, d):
     p = _sat(spark, d).withColumn("key", F.struct("pid", "price"))
-    return sampling.sample_particles(p, F.col("halo_n") % 4, F.expr("pid * 7919 % 10007"), "key").select("halo_id", "pid", "price")
+    return sampling.sample_particles(p, sampling.particle_targets(F.col("mass"), F.col("halo_n"), True), F.expr("pid * 7919 % 10007"), "key").select("halo_id", "pid", "price")
 
 
 @query("SELECT id, round(mass / 1e12 * mass / 1e12 + mass / 1e12 * 2 / 3 * 0.5::DOUBLE + 0.05::DOUBLE, 6) AS k0, round(mass / 1e12 * (4 / 3.0::DOUBLE * 0.5::DOUBLE) + 4 / 7.0::DOUBLE * 0.25::DOUBLE, 6) AS k2 FROM halos", "h")

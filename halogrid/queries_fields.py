@@ -115,6 +115,34 @@ def delta_mu2(spark, d):
     return m.select("ix", "iy", "iz", *[(F.round(c, 9) + 0.0).alias(c) for c in ("re", "im")])
 
 
+@query(
+    f"""WITH {_field_sql(_N)}, s AS (SELECT *, exp(-i2 * {_STEP * _STEP * 40.0 * 40.0 / 2!r}::DOUBLE) AS s, {_KB} AS k_bin FROM f),
+b AS (SELECT k_bin, sum(w * sqrt(i2) * {_STEP!r}::DOUBLE) / sum(w) AS k, sum(w * p * s * s) / sum(w) AS ss, sum(w * p * s) / sum(w) AS ds, sum(w * p) / sum(w) AS dd FROM s WHERE k_bin IS NOT NULL GROUP BY 1)
+SELECT k_bin, round(ss + 2 * 1.4::DOUBLE * ds + 1.4::DOUBLE * 1.4::DOUBLE * dd - 2 * 30 * k * k * ss - 2 * 1.4::DOUBLE * 30 * k * k * ds + 1e-5::DOUBLE, 10) AS p FROM b""",
+    "h",
+)
+def bias_combine_spectra(spark, d):
+    """The model spectrum of a linear and a derivative bias, from the spectra of the halos' density and of the smoothed one."""
+    s = modes.smoothing(_STEP, 40.0)
+    m = modes.bin_k_mu(_modes(spark, d), "p", _STEP, _K, [0.0, 1.0], ss=F.col("p") * s * s, ds=F.col("p") * s)
+    pairs = {("1cb", "1cb"): F.col("ss"), ("delta", "1cb"): F.col("ds"), ("delta", "delta"): F.col("mean")}
+    return m.select("k_bin", F.round(variates.combine_spectra(F.col("k_avg"), pairs, [1.4, 0.0, 0.0, 30.0], 1e-5), 10).alias("p"))
+
+
+@query(
+    f"""WITH {_field_sql(_N)}, s AS (SELECT *, {_KB} AS k_bin FROM f), b AS (SELECT k_bin, sum(w * p) / sum(w) AS dd, sum(w * p * mu2) / sum(w) AS md, sum(w * p * mu2 * mu2) / sum(w) AS mm FROM s WHERE k_bin IS NOT NULL GROUP BY 1)
+SELECT k_bin, round(0.64::DOUBLE * (2.25::DOUBLE * dd + 1.5::DOUBLE * md + 0.25::DOUBLE * mm), 10) AS p FROM b""",
+    "h",
+)
+def kaiser_combine_spectra(spark, d):
+    """The linear model in redshift space from the spectra of the halos' density and of mu squared times it."""
+    field = _modes(spark, d)
+    m = field.join(modes.delta_mu2(field, "re", "im").select("ix", "iy", "iz", F.col("re").alias("mre"), F.col("im").alias("mim")), ["ix", "iy", "iz"])
+    m = modes.bin_k_mu(m, "p", _STEP, _K, [0.0, 1.0], md=F.expr("mre * re + mim * im"), mm=F.expr("mre * mre + mim * mim"))
+    pairs = {("delta", "delta"): F.col("mean"), ("deltamu2", "delta"): F.col("md"), ("deltamu2", "deltamu2"): F.col("mm")}
+    return m.select("k_bin", F.round(variates.combine_kaiser(0.0, pairs, 0.8, 1.5, 0.5), 10).alias("p"))
+
+
 @query(f"WITH {_field_sql(_N)}, s AS (SELECT *, exp(-i2 * {_STEP * _STEP * 40.0 * 40.0 / 2!r}::DOUBLE) AS s FROM f) SELECT ix, iy, iz, round(re * s, 9) + 0.0::DOUBLE AS re, round(im * s, 9) + 0.0::DOUBLE AS im FROM s", "h")
 def mode_smoothing(spark, d):
     s = modes.smoothing(_STEP, 40.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import hod, mesh, neighbors, power, ranks, sampling, variates
+from .operators import hod, mesh, neighbors, power, ranks, sampling
 from .registry import query
 from .sources.adapters import BOX, halos, particles, unit
 
@@ -198,21 +198,6 @@ def log_likelihood(spark, d):
     return got.select(F.round("lnl", 6).alias("lnl"))
 
 
-@query("WITH s AS (SELECT slab, sum(x) AS a, sum(y) AS b, sum(z) AS c FROM halos GROUP BY 1) SELECT slab, round((a + 2 * 1.4::DOUBLE * b + 1.4::DOUBLE * 1.4::DOUBLE * c) / 1e3 + 5, 3) AS p FROM s", "h")
-def bias_combine_spectra(spark, d):
-    # Columns stand for the spectra of a bin: the same sums of products serve numbers, arrays and columns.
-    s = halos(spark, d).groupBy("slab").agg(*[F.sum(a).alias(a) for a in "xyz"])
-    pairs = {("1cb", "1cb"): F.col("x") / 1e3, ("delta", "1cb"): F.col("y") / 1e3, ("delta", "delta"): F.col("z") / 1e3}
-    return s.select("slab", F.round(variates.combine_spectra(0.0, pairs, [1.4], 5.0), 3).alias("p"))
-
-
-@query("WITH s AS (SELECT slab, sum(x) AS a, sum(y) AS b, sum(z) AS c FROM halos GROUP BY 1) SELECT slab, round(0.64::DOUBLE * (2.25::DOUBLE * a + 3 * 0.5::DOUBLE * b + 0.25::DOUBLE * c) / 1e3, 3) AS p FROM s", "h")
-def kaiser_combine_spectra(spark, d):
-    s = halos(spark, d).groupBy("slab").agg(*[F.sum(a).alias(a) for a in "xyz"])
-    pairs = {("delta", "delta"): F.col("x") / 1e3, ("deltamu2", "delta"): F.col("y") / 1e3, ("deltamu2", "deltamu2"): F.col("z") / 1e3}
-    return s.select("slab", F.round(variates.combine_kaiser(0.0, pairs, 0.8, 1.5, 0.5), 3).alias("p"))
-
-
 # --- meshes of thinned particles ---
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "halogrid", **conf: str) -> SparkSession:
@@ -26,3 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not top and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (top or "/tmp/halogrid-checkpoints").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as rows in the shared folder: what reads it several times runs it once, and a lost executor takes nothing along."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
