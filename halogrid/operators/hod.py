@@ -115,13 +115,19 @@ def satellites(particles: DataFrame, tracers: dict[str, Tracer], central: DataFr
     return out.drop("central") if central is not None else out
 
 
-def nfw_satellites(halos: DataFrame, name: str, t: Tracer, box: float, seed: int, most: int = 200) -> DataFrame:
+def nfw_satellites(halos: DataFrame, name: str, t: Tracer, box: float, seed: int, most: int = 200, exp_frac: float = 0.0, exp_scale: float = 1.0, nfw_rescale: float = 1.0, f_sigv: float = 1.0) -> DataFrame:
     """Poisson numbers of satellites on NFW profiles (columns x, y, z, vx, vy, vz, mass, r98, conc, sigma_v); tracers are drawn independently.
 
     The number inverts the Poisson distribution at a uniform number, by its terms up to `most`; a mean over most / 2 is split
-    into equal ones below that, whose numbers are summed; the radius inverts the enclosed-mass function by bisection.
+    into equal ones below that, whose numbers are summed; the radius inverts the enclosed-mass function by bisection and is
+    multiplied by nfw_rescale.  A share exp_frac of the satellites follows an exponential profile instead, with a mean radius of
+    exp_scale scale radii (r98 / conc) and no end.  Velocities scatter around the halo's by 0.577 sigma_v f_sigv on each axis.
+    With a column `central` (the tracer of the halo's central, or null) ELG means depend on it.
     """
-    lam = mean_satellite(name, t, F.col("mass")) * F.lit(t.ic)
+    mean = mean_satellite(name, t, F.col("mass"))
+    if name == "ELG" and "central" in halos.columns:
+        mean = F.when(F.col("central") == "LRG", mean_satellite(name, t, F.col("mass"), "LRG")).when(F.col("central") == "ELG", mean_satellite(name, t, F.col("mass"), "ELG")).otherwise(mean)
+    lam = mean * F.lit(t.ic)
     h = halos.withColumn("_parts", F.greatest(F.lit(1), F.ceil(lam / F.lit(most / 2.0)).cast("int"))).withColumn("_lam", lam / F.col("_parts"))
     h = h.withColumn("_us", F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: uniform(F.when(i == 1, F.col("id")).otherwise(F.xxhash64("id", i)), seed)))
     steps = f"""aggregate(_us, 0, (total, _u) -> total + aggregate(sequence(1, {most}), named_struct('p', exp(-_lam), 'cdf', exp(-_lam), 'n', 0),
@@ -132,13 +138,16 @@ def nfw_satellites(halos: DataFrame, name: str, t: Tracer, box: float, seed: int
     half = """aggregate(sequence(1, 40), named_struct('lo', 0D, 'hi', cast(conc as double)),
       (a, k) -> if(ln(1 + (a.lo + a.hi) / 2) - (a.lo + a.hi) / 2 / (1 + (a.lo + a.hi) / 2) < _m,
         named_struct('lo', (a.lo + a.hi) / 2, 'hi', a.hi), named_struct('lo', a.lo, 'hi', (a.lo + a.hi) / 2)), a -> (a.lo + a.hi) / 2)"""
-    h = h.withColumn("_r", F.expr(half) * F.col("r98") / F.col("conc"))
+    radius = F.expr(half) * F.lit(nfw_rescale)
+    if exp_frac:
+        radius = F.when(uniform(key, seed + 7) < exp_frac, -F.lit(exp_scale) * F.log(1.0 - uniform(key, seed + 8))).otherwise(radius)
+    h = h.withColumn("_r", radius * F.col("r98") / F.col("conc"))
     c = uniform(key, seed + 2) * 2 - 1
     phi = uniform(key, seed + 3) * F.lit(6.283185307179586)
     s = F.sqrt(1 - c * c)
     way = {"x": s * F.cos(phi), "y": s * F.sin(phi), "z": c}
     pos = [F.pmod(F.col(a) + F.col("_r") * d, F.lit(box)).alias(a) for a, d in way.items()]
-    vel = [(F.col(f"v{a}") + F.lit(0.577) * F.col("sigma_v") * normal(key, seed + 4 + i)).alias(f"v{a}") for i, a in enumerate("xyz")]
+    vel = [(F.col(f"v{a}") + F.lit(0.577 * f_sigv) * F.col("sigma_v") * normal(key, seed + 4 + i)).alias(f"v{a}") for i, a in enumerate("xyz")]
     return h.select("id", "sat", *pos, *vel, "mass", F.lit(name).alias("tracer"))
 
 

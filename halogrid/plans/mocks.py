@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.math import uniform
 from ..operators import hod
-from ..operators.neighbors import environment_mass, multipole, projected, xi_rp_pi, xi_s_mu
+from ..operators.neighbors import environment_mass, multipole, projected, statistics_vector, xi_rp_pi, xi_s_mu
 from ..operators.power import power_spectrum
 from ..operators.ranks import rank_in_bins
 from ..session import checkpointed
@@ -61,11 +61,12 @@ class Mocks:
             if df is not None:
                 df.unpersist()
 
-    def run(self, rsd: bool = True, reseed: int | None = None, nfw: bool = False, origin: tuple[float, float, float] | None = None) -> DataFrame:
+    def run(self, rsd: bool = True, reseed: int | None = None, nfw: bool = False, origin: tuple[float, float, float] | None = None, **profile: float) -> DataFrame:
         """id, tracer, x, y, z, vx, vy, vz, mass, is_central.
 
         Centrals move by alpha_c times the halo's stored deviation (columns exp_x, exp_y, exp_z), satellites are biased by
         alpha_s around the halo's velocity (columns hvx, hvy, hvz of particles); without these columns velocities stay.
+        With nfw, satellites are drawn on profiles, whose options (exp_frac, exp_scale, nfw_rescale, f_sigv) may be given.
         """
         h = self.halos if reseed is None else self.halos.withColumn("u", uniform(F.col("id"), reseed))
         cols = ["id", "tracer", "x", "y", "z", "vx", "vy", "vz", "mass"]
@@ -75,8 +76,9 @@ class Mocks:
             out = hod.velocity_bias(cen, self._by_tracer("alpha_c"), ("exp_x", "exp_y", "exp_z"))
         out = out.select(*cols, F.lit(True).alias("is_central"))
         if nfw:
+            around = h.join(cen.select("id", F.col("tracer").alias("central")), "id", "left")
             for i, (n, t) in enumerate(self.tracers.items()):
-                s = hod.nfw_satellites(h, n, t, self.box, (reseed or 0) + 100 * (i + 1))
+                s = hod.nfw_satellites(around, n, t, self.box, (reseed or 0) + 100 * (i + 1), **profile)
                 out = out.unionByName(s.select(*cols, F.lit(False).alias("is_central")))
         elif self.particles is not None:
             p = self.particles if reseed is None else self.particles.withColumn("u", uniform(F.col("pid"), reseed + 1))
@@ -111,6 +113,8 @@ class Mocks:
                     n_mu = args.get("n_mu", 50)
                     xi = xi_s_mu(x, y, args["edges"], n_mu, self.box, a == b)
                     one = multipole(xi, n_mu, 0).join(multipole(xi, n_mu, 2), "s_bin")
+                elif kind == "vector":
+                    one = statistics_vector(projected(xi_rp_pi(x, y, args["rp"], args["pimax"], 1, self.box, a == b)), xi_s_mu(x, y, args["edges"], args.get("n_mu", 50), self.box, a == b), args.get("n_mu", 50), args.get("orders", (0, 2)))
                 elif kind == "power":
                     one = power_spectrum(x, self.box, other=None if a == b else y, **args)
                 else:

@@ -9,6 +9,7 @@ from .functions import math as fm
 from .operators import hod, mesh, neighbors, power, ranks, sampling, variates
 from .plans import mocks
 from .registry import ORACLE_SQL, QUERIES, query
+from .session import checkpointed
 from .sources import catalog
 from .sources.adapters import BOX, halos, particles, unit
 
@@ -204,7 +205,7 @@ _ROWS = "r AS (SELECT *, (row_number() OVER (PARTITION BY halo_id % 8 ORDER BY h
 
 @query(f"WITH {_ROWS} SELECT halo_id, row, pid, weight FROM r", "p")
 def halo_particle_range_join(spark, d):
-    p = _rows(spark, d)
+    p = checkpointed(_rows(spark, d))  # the file: its rows are numbered once
     h = p.groupBy("slab", F.col("halo_id").alias("id")).agg(F.min("row").alias("npstartA"), F.count("*").alias("npoutA"))
     return catalog.halo_particles(h, p.select("slab", "ab", "row", "pid", "weight"), ["A"]).select("halo_id", "row", "pid", "weight")
 
