@@ -423,6 +423,20 @@ def xi_multipoles(spark, d):
     return both.select("s_bin", F.round("xi_0", 5).alias("xi_0"), F.round("xi_2", 5).alias("xi_2"))
 
 
+@query(
+    f"""WITH w AS ({_XI} SELECT rp_bin, 2.0::DOUBLE * 5 * sum(xi) AS wp FROM v GROUP BY rp_bin),
+m AS ({_SMU} SELECT s_bin, sum(xi * 0.1::DOUBLE) AS xi_0, sum(5 * 0.1::DOUBLE * xi * (1.5::DOUBLE * ((mu_bin + 0.5::DOUBLE) / 10) * ((mu_bin + 0.5::DOUBLE) / 10) - 0.5::DOUBLE)) AS xi_2 FROM v GROUP BY s_bin),
+u AS (SELECT 0 AS part_no, 'wp' AS part, rp_bin AS bin, wp AS value FROM w UNION ALL SELECT 1, 'xi_0', s_bin, xi_0 FROM m UNION ALL SELECT 2, 'xi_2', s_bin, xi_2 FROM m)
+SELECT (row_number() OVER (ORDER BY part_no, bin) - 1)::INT AS place, part, bin, round(value, 4) AS value FROM u""",
+    "h",
+)
+def wp_xi_vector(spark, d):
+    """Projected clustering and multipoles as the one vector that a likelihood takes."""
+    s = halos(spark, d)
+    wp = neighbors.projected(neighbors.xi_rp_pi(s, s, _EDGES, 40, 5, BOX), 5)
+    return neighbors.statistics_vector(wp, neighbors.xi_s_mu(s, s, _EDGES, 10, BOX), 10).withColumn("value", F.round("value", 4))
+
+
 @query(_every("SELECT t1, t2, bin, npairs FROM e, (VALUES ('even', 'odd'), ('odd', 'even')) t(t1, t2)", "i % 2 = 0 AND j % 2 = 1"), "h")
 def xi_cross_tracer(spark, d):
     s = halos(spark, d)
