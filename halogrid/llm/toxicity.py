@@ -105,16 +105,21 @@ def train(texts: list[bytes], label: np.ndarray, dim: int = 2, steps: int = 60,
             if k is None:
                 k = seen[h] = len(seen)
                 g = [x[s - 1 : e + 2 - n] for n, x in zip(GRAMS, b.buckets, strict=True) if e - s + 3 > n]
-                g = np.concatenate(g)
+                g = np.concatenate(g).astype(np.int32)
                 grams.append(g)
                 size.append(len(g))
             ids[i] = k
         word.append(ids)
+        del b  # arrays of a whole chunk, not needed while the next one is made or the steps run
+    words = len(seen)
+    del seen
     doc, word, grams, size = np.concatenate(doc), np.concatenate(word), np.concatenate(grams), np.array(size)
-    pair, times = np.unique(doc * len(seen) + word, return_counts=True)
-    doc, word = pair // len(seen), pair % len(seen)
+    pair, times = np.unique(doc * words + word, return_counts=True)
+    doc, word = pair // words, pair % words
+    del pair
     share = (times / (np.bincount(doc, times, len(texts)) + NEUTRAL)[doc]).astype(np.float32)
-    owner = np.repeat(np.arange(len(size)), size)
+    del times
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     # Buckets of few training texts say nothing about others.
     texts_of = np.zeros(BUCKETS, np.int64)
     word_texts = np.bincount(word, minlength=len(size))
