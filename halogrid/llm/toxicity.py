@@ -92,7 +92,7 @@ class Model:
 def train(texts: list[bytes], label: np.ndarray, dim: int = 2, steps: int = 60, rate: float = 1.0, decay: float = 0.05, seed: int = 0, min_texts: int = 10) -> Model:
     """Full-batch Adam on the weighted cross entropy; classes weigh equally, the bias is set to the labels' odds at the end."""
     if len(set(label.tolist())) < 2:
-        p = (label.sum() + 1) / (len(label) + 2)
+        p = (label.sum() + 1) / (len(label) + 3)  # without any label under one half: nothing is rejected
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     doc, word, grams, size = [], [], [], []
     seen: dict[int, int] = {}
@@ -181,7 +181,10 @@ def _score(model: Model):
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
-    """Train on rows of labels (doc_id, toxic) whose crc32(doc_id) mod 5 is not 0; at most `sample` texts of each class reach the driver."""
+    """Train on rows of labels (doc_id, toxic) whose crc32(doc_id) mod 5 is not 0; at most `sample` texts of each class reach the driver.
+
+    Labels of one class alone give every text their odds; without any label every text scores 1/3, so nothing is rejected.
+    """
     texts, label = labelled_sample(docs, labels, "toxic", sample, 5, 0)
     if len(set(label.tolist())) < 2:  # nothing to tell apart
         return train(texts, label)

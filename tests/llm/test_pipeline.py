@@ -115,3 +115,14 @@ def test_stages_on_odd_rows(spark, tables):
     got = corpus_pipeline.STAGES[-1][1](spark, at, SF).collect()
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == pieces(want[-1])
     assert corpus_pipeline.STAGES[-1][1](spark, df.limit(0), SF).collect() == []
+
+
+def test_run_with_empty_labels_and_benchmark(spark, tmp_path):
+    """Without labels nothing is judged toxic, without items nothing is contaminated: only copies go."""
+    docs = [(1, "a plain text of some words that nobody minds"), (2, "a plain text of some words that nobody minds"), (3, "another one"), (4, None)]
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    rows = {"documents": [(d, t, "en", "s", len(t or "")) for d, t in docs], "labels": [], "benchmark": []}
+    for name, kind in kinds.items():
+        spark.createDataFrame(rows[name], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == pieces([docs[0], *docs[2:]])
