@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import hod, mesh, neighbors, power, ranks, sampling
 from .registry import query
+from .session import dealt
 from .sources.adapters import BOX, halos, particles, unit
 
 # --- ranks of particles ---
@@ -20,14 +21,12 @@ def _relative(spark, d):
         "halo_id", "pid", "price", "line", F.expr("pid % 3 <> 0").alias("selected"), *[F.expr(f"d{a} / 1000D").alias(a) for a in "xyz"],
         F.expr("cast(v as double)").alias("vx"), F.expr("cast((pid * 47 + 19) % 4001 - 2000 as double)").alias("vy"), F.expr("cast((pid * 53 + 23) % 4001 - 2000 as double)").alias("vz"),
     )
+    p, h = dealt("halo_id", p, h)
     return p.join(h, "halo_id")
 
 
 def _next_distance(p):
-    """Squared distance to the next particle of the halo; coincident particles count as one place."""
-    places = p.select(F.col("halo_id").alias("grp"), F.struct("x", "y", "z").alias("id"), "x", "y", "z").distinct()
-    nn = neighbors.nearest_other(places).select(F.col("grp").alias("halo_id"), F.col("id.x").alias("x"), F.col("id.y").alias("y"), F.col("id.z").alias("z"), F.round("d2", 9).alias("nn2"))
-    return p.join(nn, ["halo_id", "x", "y", "z"], "left")
+    return neighbors.next_place(p, "halo_id", "nn2").withColumn("nn2", F.round("nn2", 9))
 
 
 _ALPHA = "m / ((ln(1 + r98 / r25) - (r98 / r25) / (r98 / r25 + 1)) * sqrt(d2))"

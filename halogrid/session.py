@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (top or "/tmp/halogrid-checkpoints").rstrip("/")
 
 
+#: Rows of a partition of dealt().
+DEALT_ROWS = 100_000
+
+
+def dealt(key: str, most: DataFrame, *others: DataFrame) -> list[DataFrame]:
+    """The frames dealt by a hash of one key, all into as many partitions as give some DEALT_ROWS rows of the first to each, so that a task's memory doesn't grow with the table."""
+    n = max(most.sparkSession.sparkContext.defaultParallelism, -(-most.count() // DEALT_ROWS))
+    return [df.repartition(n, key) for df in (most, *others)]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df as rows in the shared folder: what reads it several times runs it once, and a lost executor takes nothing along."""
     context = df.sparkSession.sparkContext
