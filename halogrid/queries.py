@@ -9,7 +9,7 @@ from .functions import math as fm
 from .operators import hod, mesh, neighbors, power, ranks, sampling, variates
 from .plans import mocks
 from .registry import ORACLE_SQL, QUERIES, query
-from .session import checkpointed
+from .session import checkpointed, dealt
 from .sources import catalog
 from .sources.adapters import BOX, halos, particles, unit
 
@@ -542,7 +542,8 @@ _PU = "((pid * 7919 + 209458) % 10007)::DOUBLE / 10007::DOUBLE"
 
 def _sat(spark, d):
     h = halos(spark, d).select(F.col("id").alias("halo_id"), "mass", F.col("n").alias("halo_n"))
-    return particles(spark, d).drop("weight").join(h, "halo_id").withColumn("u", unit(F.col("pid"), 2)).withColumn("weight", F.lit(1.0))
+    p, h = dealt("halo_id", particles(spark, d).drop("weight"), h)
+    return p.join(h, "halo_id").withColumn("u", unit(F.col("pid"), 2)).withColumn("weight", F.lit(1.0))
 
 
 @query(f"WITH j AS (SELECT halo_id, pid, price, mass FROM particles JOIN halos ON halo_id = id) SELECT halo_id, pid, price FROM j WHERE {_PU} <= {_PS} * 0.9::DOUBLE", "hp")

@@ -29,3 +29,8 @@ def test_next_place_is_that_of_all_pairs(spark):
     for i in range(200):
         d2 = ((at[grp == grp[i]] - at[i]) ** 2).sum(axis=1)
         assert got[i] == (d2[d2 > 0].min() if (d2 > 0).any() else None)
+
+
+def test_sampled_particles_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "DEALT_ROWS", 100)
+    assert largest(queries._sat(spark, SMALL)) < 300
