@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, NumericType, StringType, StructType
 
 #: Rows of the sample that sets the bounds of ordered_index, for each shuffle partition and at most.
 SAMPLE_ROWS, MOST_SAMPLED = 64, 1 << 16
 
 
+#: Bounds of ordered_buckets that are a literal of the plan; more are joined as one row.
+LITERAL_BOUNDS = 512
+
 #: Edges up to which a search is a tree of comparisons in generated code; more are searched in an array.
 TREE_EDGES = 64
 
@@ -64,7 +68,7 @@ def rank_in_bins(df: DataFrame, value: str, mass: str, edges: list[float], key:
     """
     d = df.withColumn("_bin", bin_index(F.col(mass), edges))
     ranked = ordered_index(d.where("_bin is not null"), ["_bin", value, key], by="_bin")
-    n = ranked.groupBy("_bin").agg(F.count("*").alias("_n"))
+    n = d.where("_bin is not null").groupBy("_bin").agg(F.count("*").alias("_n"))
     ranked = ranked.join(F.broadcast(n), "_bin").withColumn(out, F.when(F.col("_n") > 1, F.col("_index") / (F.col("_n") - 1) - 0.5).otherwise(0.0))
     return ranked.drop("_n", "_index").unionByName(d.where("_bin is null").withColumn(out, F.lit(0.0))).drop("_bin")
 
@@ -83,12 +87,15 @@ def ordered_buckets(df: DataFrame, order: list[str], out: str = "_part", finer:
     """df with its bucket in this order: an int that never falls as the order rises, of about `finer` values a shuffle partition.
 
     A row's bucket is the number of the sampled bounds that do not exceed it, a column like any other, so nothing rests on
-    which partition a row falls into.  Bounds are found by two levels of comparison: a row meets about twice the root of
-    their number.  Rows that are equal in the order share a bucket.
+    which partition a row falls into.  A few bounds are a literal, in which a row finds its place by halving; many are a
+    joined row, with two levels of comparison: a row meets about twice the root of their number.  Rows that are equal in
+    the order share a bucket.
     """
     found, schema = _bounds(df, order, finer * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if not found:
         return df.withColumn(out, F.lit(0))
+    if len(found) <= LITERAL_BOUNDS and all(isinstance(f.dataType, (NumericType, StringType)) for f in schema):
+        return df.withColumn(out, _not_above(found, schema, order))
     step = math.isqrt(len(found)) + 1
     low = [found[i : i + step] for i in range(0, len(found), step)]
     kind = schema.simpleString()
@@ -100,6 +107,19 @@ def ordered_buckets(df: DataFrame, order: list[str], out: str = "_part", finer:
     return r.withColumn(out, F.greatest(top - 1, F.lit(0)) * step + inner).drop("_tops", "_low")
 
 
+def _not_above(found: list, schema: StructType, order: list[str]) -> Column:
+    """Number of the bounds (rising) that do not exceed a row in this order; the row's values are made once, not for each comparison."""
+    text = json.dumps([b.asDict() for b in found], default=str)  # one small expression, made a literal before rows are read
+    bounds = F.from_json(F.lit(text), ArrayType(schema))
+    me = F.struct(*[F.col(c).alias(f.name) for c, f in zip(order, schema, strict=True)])
+    steps = F.lit([1 << i for i in range(len(found).bit_length() - 1, -1, -1)])
+
+    def search(s):
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(s["bounds"], at + step - 1) <= s["me"], F.lit(False)), at + step).otherwise(at))
+
+    return F.transform(F.array(F.struct(bounds.alias("bounds"), me.alias("me"))), search)[0]
+
+
 def ordered_index(df: DataFrame, order: list[str], by: str | None = None, weight: str | None = None, out: str = "_index") -> DataFrame:
     """Global row number from 0 (or exclusive prefix sum of weight) in this order, inside each group `by`, without one-task windows.
 
@@ -204,8 +224,13 @@ def keep_first(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def counts_from_starts(df: DataFrame, start: str, order: list[str], total: int | Column, out: str) -> DataFrame:
-    """Number of entries of each row: the next row's start less its own, the last one's from the total."""
-    following = ordered_index(df.select(*order, start), order, out="_i")
-    nxt = following.select((F.col("_i") - 1).alias("_i"), F.col(start).alias("_next"))
-    rows = following.join(nxt, "_i", "left").withColumn(out, F.coalesce("_next", total if isinstance(total, Column) else F.lit(total)) - F.col(start))
-    return df.join(rows.select(*order, out), order)
+    """df with the number of entries of each row: the next row's start less its own, the last one's from the total.
+
+    The next row is the next of the bucket; a bucket's last row takes the first one of the next bucket, few rows in all.
+    """
+    r = ordered_buckets(df, order)
+    first = r.groupBy("_part").agg(F.min_by(F.struct(start), F.struct(*order)).alias("_first"))
+    first = first.select("_part", F.lead("_first").over(W.orderBy("_part")).alias("_first"))  # as many rows as buckets
+    r = r.withColumn("_next", F.lead(F.struct(start)).over(W.partitionBy("_part").orderBy(*order))).join(first, "_part")
+    following = F.coalesce("_next", "_first")[start]
+    return r.withColumn(out, F.coalesce(following, total if isinstance(total, Column) else F.lit(total)) - F.col(start)).drop("_part", "_next", "_first")
