@@ -115,9 +115,9 @@ SELECT row, ((w >> 12) * (1000.0::DOUBLE / 1000000))::DOUBLE AS x, ((w & 4095) -
     "h",
 )
 def records_round_trip(spark, d):
-    """Packed words of halos written as a binary file in the shared folder and read back in ranges."""
+    """Packed words of halos written as binary files in the shared folder, each a range of the order, and read back in ranges."""
     word = F.expr("cast(n * 4096 + n % 4096 as int)")
-    h = halos(spark, d).orderBy("id").coalesce(1).select(word.alias("rv_x"), word.alias("rv_y"), word.alias("rv_z"))
+    h = halos(spark, d).orderBy("id").select(word.alias("rv_x"), word.alias("rv_y"), word.alias("rv_z"))
     path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     records.write_records(h, path, "rvint")
     r = records.read_records(spark, path, "rvint", ["rv_x", "row"], split_bytes=12_000)

@@ -7,7 +7,7 @@
 Kinds: rvint (three packed words of position and velocity), packedpid (one packed id), pack9 (nine bytes; a record that begins
 with 0xFF is the header of the cells that follow, and each other record comes with its header, so that it can be
 decoded wherever a range begins).  Words stay packed: functions.decode turns them into columns in generated code.  The option
-fields names the columns to make, splitBytes the size of a range.  Files are opened through pyarrow's file systems, so a
+fields names the columns to make, splitBytes the size of a range (longer where there would be over MOST_RANGES of them).  Files are opened through pyarrow's file systems, so a
 path may be a URI of a store that these reach.
 """
 
@@ -34,6 +34,8 @@ SQL_TYPES = {"<i4": "int", "<i8": "long", "V9": "binary"}
 HEADER = 0xFF
 #: Bytes of a range, records of a batch, and records that a range looks back at a time for its header.
 SPLIT_BYTES, BATCH, LOOK_BACK = 64 << 20, 1 << 16, 1 << 12
+#: Ranges that large files are read in, not counting that each file begins one: more only cost starts of tasks.
+MOST_RANGES = 1000
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -96,7 +98,7 @@ class RecordReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         files = [top] if top.is_file else sorted((f for f in store.get_file_info(fs.FileSelector(path)) if f.is_file and f.base_name[0] not in "._"), key=lambda f: f.base_name)
         size, first, out = _dtype(self.kind).itemsize, 0, []
-        step = max(1, self.split // size)
+        step = max(1, self.split // size, -(-sum(f.size for f in files) // size // MOST_RANGES))
         for f in files:
             n, rest = divmod(f.size, size)
             if rest:
