@@ -28,6 +28,12 @@ def halos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("id"), n.alias("n"), (n.cast("double") * F.lit(2.0e9)).alias("mass"), *pos, *vel, (k % 8).cast("int").alias("slab"), merged.alias("merged_to"), F.col("o_custkey").alias("owner"))
 
 
+def moved(pid: Column) -> dict[str, Column]:
+    """dx, dy, dz, v of a particle, by its pid."""
+    out = {c: (hashed(pid, a, b, 2001) - 1000).cast("long") for c, a, b in (("dx", 31, 7), ("dy", 37, 11), ("dz", 41, 13))}
+    return out | {"v": (hashed(pid, 43, 17, 4001) - 2000).cast("long")}
+
+
 def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """halo_id, pid, x, y, z (displacements of quantity and so on), weight, v of lineitem."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -35,8 +41,7 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = F.col("l_partkey") * 1000003 + F.col("l_suppkey") * 101 + F.col("l_linenumber") + price % 997 * 1000000007
     return li.select(
         F.col("l_orderkey").alias("halo_id"), pid.alias("pid"), price.alias("price"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_quantity").cast("long").alias("weight"),
-        *[(hashed(pid, a, b, 2001) - 1000).cast("long").alias(c) for c, a, b in (("dx", 31, 7), ("dy", 37, 11), ("dz", 41, 13))],
-        (hashed(pid, 43, 17, 4001) - 2000).cast("long").alias("v"),
+        *[x.alias(c) for c, x in moved(pid).items()],
     )
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from halogrid import queries, queries_more, queries_spatial, session
+from halogrid import queries, queries_catalog, queries_more, queries_spatial, session
 from halogrid.operators import neighbors, ranks
 from halogrid.sources import records
 
@@ -78,3 +78,12 @@ def test_records_are_written_by_several_tasks_and_read_in_bounded_ranges(spark,
         f.truncate(12 * 100_000)
     ranges = records.RecordReader({"path": str(tmp_path / "large"), "kind": "rvint", "splitBytes": "12"}, ["row"]).partitions()
     assert len(ranges) <= records.MOST_RANGES and sum(r.count for r in ranges) == 100_000
+
+
+def test_staged_files_are_made_from_what_is_written(spark, monkeypatch):
+    frames, stage = {}, queries_catalog._stage
+    monkeypatch.setattr(queries_catalog, "_stage", lambda spark, **more: (frames.update(more), stage(spark, **more))[1])
+    queries_catalog._raw(spark, SMALL)
+    read = {name: " ".join(df.inputFiles()) for name, df in frames.items()}
+    assert "lineitem" in read["particles"] and "orders" not in read["particles"]
+    assert "lineitem" not in read["cleaned"] and "lineitem" not in read["merged"]
