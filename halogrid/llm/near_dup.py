@@ -9,7 +9,7 @@ Texts with equal shingle sets form a class, which enters the search once.  In ea
 with the bucket's smallest; the rest of the pairs need a look only where their ends are not yet in one component.
 In a large bucket these are found by their differences from a reference r, the shingles that r lacks or that they lack.
 r may be any set, so buckets with the same sets share one: each set prefers, of the smallest of its buckets, one that is
-like it and that many sets know, and a bucket takes what most of its sets prefer.  Let u and v have m and d of them each, lacking and extra, and c in common.  Then u and v share |r| - m_u - m_v + c shingles of
+like it and that many sets know, and all buckets with the same smallest set take what most of their sets prefer.  Let u and v have m and d of them each, lacking and extra, and c in common.  Then u and v share |r| - m_u - m_v + c shingles of
 |r| + d_u + d_v - c, so that similarity s takes c >= (m_u + m_v + s (d_u + d_v) - (1 - s) |r|) / (1 + s); with v not
 linked to r this is above (m_u + s d_u) / (1 + s), and as v must make up what it lacks for a link to r itself, c is
 also at least m_v + s d_v - (1 - s) |r| > 0.  So a link needs a common difference among the first few of each
@@ -201,22 +201,22 @@ def _features(percent: int, frequency: np.ndarray):
     return run
 
 
-def _references(members: DataFrame, overlap: DataFrame) -> DataFrame:
-    """(node, rep, root) of the sets that a bucket of members (key, node, root, rep) compares by differences, once for all buckets that share a reference.
+def _references(known: DataFrame, overlap: DataFrame) -> DataFrame:
+    """(node, rep, root) of the sets that are compared by differences from a reference rep, once for all buckets that share it.
 
+    known: (node, root, first) once for each set and each smallest set of its buckets, however many buckets the two share.
     A set prefers, of the smallest sets of its buckets, the one with the largest product of similarity (overlap: u, v,
-    inter, n_union; 0 if not measured) and log of the number of sets that know it; a bucket's reference is what most of
-    its sets prefer.
+    inter, n_union; 0 if not measured) and log of the number of sets that know it; the reference of all buckets with one
+    smallest set is what most of their sets prefer, so that any two sets of a bucket have one in common.
     """
-    known = members.select("node", "rep").distinct()
-    often = known.groupBy("rep").agg(F.count("*").alias("sets"))
-    like = overlap.select(F.col("u").alias("node"), F.col("v").alias("rep"), F.expr("inter / n_union").alias("like"))
-    known = known.join(often, "rep").join(like, ["node", "rep"], "left")
-    liked = known.groupBy("node").agg(F.max(F.struct((F.log2("sets") * F.coalesce("like", F.lit(0.0))).alias("x"), F.col("rep").alias("r")))["r"].alias("liked"))
-    members = members.select("key", "node", "root").join(liked, "node")
-    votes = members.groupBy("key", "liked").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy("key").agg(F.max(F.struct("n", "liked"))["liked"].alias("rep"))
-    return members.join(chosen, "key").where("node <> rep").select("node", "rep", "root").distinct()
+    often = known.groupBy("first").agg(F.count("*").alias("sets"))
+    like = overlap.select(F.col("u").alias("node"), F.col("v").alias("first"), F.expr("inter / n_union").alias("like"))
+    rated = known.join(often, "first").join(like, ["node", "first"], "left")
+    liked = rated.groupBy("node").agg(F.max(F.struct((F.log2("sets") * F.coalesce("like", F.lit(0.0))).alias("x"), F.col("first").alias("r")))["r"].alias("liked"))
+    known = known.join(liked, "node")
+    votes = known.groupBy("first", "liked").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy("first").agg(F.max(F.struct("n", "liked"))["liked"].alias("rep"))
+    return known.join(chosen, "first").where("node <> rep").select("node", "rep", "root").distinct()
 
 
 def _links(docs: DataFrame, star: DataFrame, k: int, percent: int, small_bucket: int, scratch: Scratch) -> DataFrame | None:
@@ -251,7 +251,8 @@ def _links(docs: DataFrame, star: DataFrame, k: int, percent: int, small_bucket:
     side = star.where(F.col("members") <= small_bucket)
     u, v = (side.select("key", *(F.col(c).alias(x + y) for c, y in (("node", ""), ("n", "n"), ("root", "r")))) for x in "uv")
     pairs = u.join(v, "key").where(f"u < v and ur <> vr and {fit}").select("u", "v")
-    large = scratch.write(_references(star.where(F.col("members") > small_bucket), overlap))
+    known = scratch.write(star.where(F.col("members") > small_bucket).select("node", "root", F.col("rep").alias("first")).distinct())
+    large = scratch.write(_references(known, overlap))
     if not large.isEmpty():
         nodes = scratch.write(large.select("node").distinct())
         cells = keep_ids(sets, nodes, "node").select("words").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()

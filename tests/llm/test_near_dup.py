@@ -118,3 +118,23 @@ def test_differences_lose_no_link():
         found = set(zip(t.nodeu, t.nodev, strict=True))
         links = {(u, v) for v, y in enumerate(every) if not linked(y, every[0], percent) for u, x in enumerate(every) if u and not np.array_equal(x, y) and linked(x, y, percent)}
         assert links and links <= found
+
+
+def test_a_set_meets_a_smallest_set_once_for_all_their_buckets(spark, monkeypatch):
+    """What reference to take is asked once for a set and a smallest set, not in each of the up to 144 buckets that they share."""
+    from halogrid.llm import near_dup
+
+    seen, choose = [], near_dup._references
+
+    def counted(known, overlap):
+        seen.append((known.count(), known.select("node").distinct().count()))
+        return choose(known, overlap)
+
+    monkeypatch.setattr(near_dup, "_references", counted)
+    r = random.Random(100)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(f"x{r.randrange(9**6)}" if r.random() < 0.04 else w for w in base)) for i in range(100)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small_bucket=2).collect()
+    assert {x.doc_id: x.component_id for x in got} == brute(rows, 5)
+    ((rows_in, sets),) = seen
+    assert sets > 90 and rows_in < 12 * sets
